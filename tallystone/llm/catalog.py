@@ -1,15 +1,17 @@
 """The queries of this subpackage and their oracle SQL."""
 
-from tallystone.llm import chat_format, sharding, url_filters
+from tallystone.llm import chat_format, packing, sharding, topk, url_filters
 
 
 def queries():
     return {
         "op3_chat_format": chat_format.query,
+        "op4_topk": topk.query,
         "op5_url_filters": url_filters.query,
+        "op9_packing": packing.query,
         "op10_sharding": sharding.query,
     }
 
 
 def oracle_sql():
-    return {"op3_chat_format": chat_format.ORACLE, "op5_url_filters": url_filters.ORACLE}
+    return {"op3_chat_format": chat_format.ORACLE, "op4_topk": topk.ORACLE, "op5_url_filters": url_filters.ORACLE}
