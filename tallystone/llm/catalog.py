@@ -1,10 +1,12 @@
 """The queries of this subpackage and their oracle SQL."""
 
-from tallystone.llm import chat_format, packing, sharding, topk, url_filters
+from tallystone.llm import chat_format, decontamination, near_dedup, packing, sharding, topk, url_filters
 
 
 def queries():
     return {
+        "op1_decontamination": decontamination.query,
+        "op2_near_dedup": near_dedup.query,
         "op3_chat_format": chat_format.query,
         "op4_topk": topk.query,
         "op5_url_filters": url_filters.query,
@@ -14,4 +16,10 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_chat_format": chat_format.ORACLE, "op4_topk": topk.ORACLE, "op5_url_filters": url_filters.ORACLE}
+    return {
+        "op1_decontamination": decontamination.ORACLE,
+        "op2_near_dedup": near_dedup.ORACLE,
+        "op3_chat_format": chat_format.ORACLE,
+        "op4_topk": topk.ORACLE,
+        "op5_url_filters": url_filters.ORACLE,
+    }
