@@ -1,6 +1,6 @@
 """The queries of this subpackage and their oracle SQL."""
 
-from tallystone.llm import chat_format, decontamination, near_dedup, packing, sharding, topk, url_filters
+from tallystone.llm import chat_format, decontamination, near_dedup, packing, quality, sharding, topk, url_filters
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op3_chat_format": chat_format.query,
         "op4_topk": topk.query,
         "op5_url_filters": url_filters.query,
+        "op8_quality": quality.query,
         "op9_packing": packing.query,
         "op10_sharding": sharding.query,
     }
