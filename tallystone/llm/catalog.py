@@ -1,6 +1,7 @@
 """The queries of this subpackage and their oracle SQL."""
 
-from tallystone.llm import chat_format, decontamination, near_dedup, packing, quality, sharding, topk, url_filters
+import corpus_pipeline
+from tallystone.llm import chat_format, decontamination, licenses, lm_scoring, near_dedup, packing, quality, sharding, topk, url_filters
 
 
 def queries():
@@ -10,9 +11,12 @@ def queries():
         "op3_chat_format": chat_format.query,
         "op4_topk": topk.query,
         "op5_url_filters": url_filters.query,
+        "op6_lm_scoring": lm_scoring.query,
+        "op7_license_scan": licenses.query,
         "op8_quality": quality.query,
         "op9_packing": packing.query,
         "op10_sharding": sharding.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
