@@ -209,7 +209,8 @@ def directories_v2(scored: DataFrame) -> DataFrame:
 def health_v1(files: DataFrame, duplication: bool = True, top: int | None = None) -> dict[str, DataFrame]:
     """project, files, directories, languages, dimensions and tests under version 1, for distinct paths."""
     model = Model(1, duplication)
-    scored = score_files_v1(files, model)
+    files = files.persist()  # a row a file, read by every report
+    scored = score_files_v1(files, model).persist()
     project = pooled_health(files, [], model)
     sums = _group_sums(scored, [])
     extra = sums.select("coverage", *_assess(1), *_RISK)
@@ -232,12 +233,14 @@ def health_v2(files: DataFrame, regions: DataFrame | None = None, duplication: b
     """
     model = Model(2, duplication)
     production, tests = project_regions(files, regions)
-    some = F.broadcast(production.limit(1).agg(F.count("*").alias("_some")))  # one row
-    primary = production.unionByName(tests.crossJoin(some).where("_some = 0").drop("_some"))
-    scored, tested = score_files_v2(primary, model), score_files_v2(tests, model)
-    project = group_health(scored, []).crossJoin(some)
+    tested = score_files_v2(tests, model).persist()  # rows of scored files are one a file, and every report reads them
+    scored = score_files_v2(production, model).persist()
+    if scored.isEmpty():
+        scored, scope = tested, "tests-only"
+    else:
+        scope = "production"
     return {
-        "project": project.withColumns({"model": F.lit(model.name), "scope": F.when(F.col("_some") > 0, "production").otherwise("tests-only")}).drop("_some"),
+        "project": group_health(scored, []).withColumns({"model": F.lit(model.name), "scope": F.lit(scope)}),
         "files": worst(scored, "path", top),
         "directories": worst(directories_v2(scored), "directory", top),
         "languages": group_health(scored, ["language"]).orderBy(F.desc("code_lines"), "language"),

@@ -301,9 +301,9 @@ p AS (SELECT a.path AS file_a, b.path AS file_b, count(*) AS shared_commits FROM
 q AS (SELECT file_a, file_b, shared_commits, x.n AS commits_a, y.n AS commits_b, shared_commits / ((x.n + y.n) / 2.0::DOUBLE) * 100 AS degree FROM p JOIN per x ON x.path = file_a JOIN per y ON y.path = file_b)"""
 
 
-@query("coupling_pairs", f"WITH {O.LOG_A}, {_PAIRS} SELECT file_a, file_b, shared_commits, commits_a, commits_b, round(degree, 6) AS degree FROM q WHERE degree >= 5")
+@query("coupling_pairs", f"WITH {O.LOG_A}, {_PAIRS} SELECT file_a, file_b, shared_commits, commits_a, commits_b, round(degree, 6) AS degree FROM q WHERE degree >= 1.5")
 def coupling_pairs(spark, sf_dir):
-    return history.coupling(B.log_a(spark, sf_dir), min_degree=5.0, max_changeset=6, top=None)
+    return history.coupling(B.log_a(spark, sf_dir), min_degree=1.5, max_changeset=6, top=None)
 
 
 @query("coupling_top", f"WITH {O.LOG_A}, {_PAIRS} SELECT file_a, file_b, shared_commits, round(degree, 6) AS degree FROM q WHERE degree >= 2 ORDER BY q.degree DESC, shared_commits DESC, string_split(file_a, '/'), string_split(file_b, '/') LIMIT 20")
