@@ -14,29 +14,40 @@ its own; a null doc_id is kept; an empty table gives no pieces; columns beside d
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
 from array import array
 from itertools import count
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallystone.llm.arrow_text import chunks
-
 WINDOW, END_ID, TIERS, STEP = 4096, 2, (512, 1024, 2048, 4096), 16
 #: Tokens that wait in a worker before windows are built, and words whose ids a worker keeps (twice as many at most).
-ROUND_TOKENS, KEPT_WORDS = 1 << 20, 500_000
+ROUND_TOKENS, KEPT_WORDS = 1 << 20, 250_000
+#: Documents whose words are looked up together.
+DOCS = 512
 #: White space to Python but not to the tokenizer, or the other way round: such texts are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85]")
 #: Texts without these have the same ids in lower case, which the tokenizer makes anyway.
 _WIDE = re.compile("[\u0130\u0250-\U0010ffff]")
 
 
+#: The pre-tokenizer under which a run of letters is one piece and a run of other signs is one piece.
+_LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+
+
+def _byte_letters() -> dict[int, int]:
+    """How byte-level pre-tokenizers write bytes as letters: printable ones as they are, all others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
 class Encoder:
     """Token ids as little-endian 32-bit bytes; the ids of words between white space are kept and joined."""
 
@@ -45,21 +56,42 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model, self.end, self.limit = Tokenizer.from_file(path), end_id.to_bytes(4, "little"), kept_words
-        self.lowers = '"type":"Lowercase"' in self.model.to_str()
-        special = {i: t for i, t in self.model.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)}
-        self.mark_id, self.mark = max(((i, t.content) for i, t in special.items()), default=(None, ""))
+        spec = json.loads(self.model.to_str())
+        kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.lowers = "Lowercase" in kinds
+        # letters can go to the model as they are where the steps before it are known to leave a run of them alone
+        self.plain = kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _LETTER_RUNS} and not steps[1]["add_prefix_space"]
+        self.bytes = _byte_letters()
         self.kept, self.older = {}, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. Words without a special token in them are encoded in one go, a special token between them."""
-        if not self.mark or any(self.mark in t for t in texts):
-            return [array("I", x.ids).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        out = []
-        for k in range(0, len(texts), 1000):
-            ids = np.array(self.model.encode_batch_fast([self.mark.join(texts[k : k + 1000])], add_special_tokens=False)[0].ids, "<u4")
-            ends, data = [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), 4 * len(ids)], ids.tobytes()
-            starts = [0, *(e + 4 for e in ends[:-1])]
-            out += [data[a:b] for a, b in zip(starts, ends, strict=True)]
+        return [array("I", x.ids).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _run(self, letters: str) -> bytes:
+        """The ids of a run of letters in lower case."""
+        found = self.kept.get(letters) or self.older.get(letters)
+        if found is None:
+            seen = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.bytes)
+            found = array("I", [t.id for t in self.model.model.tokenize(seen)]).tobytes()
+            if len(letters) <= 64:
+                self.kept[letters] = found
+        return found
+
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that are not kept."""
+        out, rest = {}, []
+        for w in words:
+            letters = w.rstrip(_SIGNS)
+            if self.plain and letters.isalpha() and letters.islower() and not _WIDE.search(letters):
+                out[w] = self._run(letters)
+                if signs := w[len(letters) :]:
+                    if signs not in self.kept:
+                        self.kept[signs] = self._ids([signs])[0]
+                    out[w] += self.kept[signs]
+            else:
+                rest.append(w)
+        out.update(zip(rest, self._ids(rest), strict=True))
         return out
 
     def _words(self, text: str) -> list[str] | None:
@@ -70,20 +102,20 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end token."""
         split = [self._words(t) for t in texts]
-        new = set().union(*(w for w in split if w)) - self.kept.keys()
-        if len(self.kept) + len(new) > self.limit:  # words of the last generation that come again move to this one
-            self.kept, self.older = {}, self.kept
-            new = set().union(*(w for w in split if w))
-        again = new & self.older.keys()
-        fresh = list(new - again)
-        self.kept.update((w, self.older[w]) for w in again)
-        self.kept.update(zip(fresh, self._ids(fresh), strict=True))
-        ids = self.kept.__getitem__
-        out = [(b"".join(map(ids, w)) if w is not None else self._ids([t])[0]) + self.end for t, w in zip(texts, split, strict=True)]
-        for w in fresh:
-            if len(w) > 64:
-                del self.kept[w]
-        return out
+        every = set().union(*(w for w in split if w))
+        kept = self.kept
+        own = {w: kept[w] for w in every & kept.keys()}
+        new = every - own.keys()
+        if len(kept) + len(new) > self.limit:  # words of the last generation that come again move to this one
+            self.kept, self.older = dict(own), kept
+            kept = self.kept
+        again = {w: self.older[w] for w in new & self.older.keys()}
+        fresh = self._new(list(new - again.keys()))
+        for found in (again, fresh):
+            own.update(found)
+            kept.update((w, x) for w, x in found.items() if len(w) <= 64)
+        ids = own.__getitem__
+        return [(b"".join(map(ids, w)) if w is not None else self._ids([t])[0]) + self.end for t, w in zip(texts, split, strict=True)]
 
 
 class Packer:
@@ -182,8 +214,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, wi
         rows = []
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for part, texts in chunks([batch], 1, 1 << 20):
-                for doc_id, data in zip(part.column(0).to_pylist(), encode([(t or b"").decode() for t in texts]), strict=True):
+            for start in range(0, batch.num_rows, DOCS):
+                part = batch.slice(start, DOCS)
+                for doc_id, data in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     rows += packer.add(doc_id, data)
                 if len(rows) >= 50_000:
                     yield out(rows)
