@@ -32,7 +32,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
-def chunks(batches, text_at: int, max_bytes: int = 1 << 22):
+def chunks(batches, text_at: int, max_bytes: int = 1 << 20):
     """(slice of a batch, its texts as bytes or None) with about max_bytes of text each; a longer text comes alone."""
     for batch in batches:
         col = batch.column(text_at)
