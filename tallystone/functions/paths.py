@@ -64,7 +64,7 @@ def is_test_path(path: Column) -> Column:
     name = F.element_at(parts, -1)
     dirs = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.translate(p, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     stem = F.regexp_extract(name, r"(?s)^(.+)\.([^.]*)$", 1)
-    ext = F.regexp_extract(name, r"(?s)^(.+)\.([^.]*)$", 2)
+    ext = F.lower(F.regexp_extract(name, r"(?s)^(.+)\.([^.]*)$", 2))
     named = (
         F.greatest(*(F.endswith(stem, F.lit(e)) for e in TEST_STEM_ENDS))
         | ((ext == "py") & F.startswith(stem, F.lit("test_")))

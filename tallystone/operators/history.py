@@ -123,6 +123,7 @@ def _test_name(path: str) -> bool:
     """is_test_path() for one path on the driver."""
     *dirs, name = path.split("/")
     stem, dot, ext = name.rpartition(".")
+    ext = ext.lower()
     if name == "conftest.py" or any(d.lower() in paths.TEST_DIRS for d in dirs):
         return True
     named = stem.endswith(tuple(paths.TEST_STEM_ENDS)) or (ext == "py" and stem.startswith("test_")) or (ext == "rb" and stem.endswith("_spec"))
