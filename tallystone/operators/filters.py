@@ -116,11 +116,13 @@ class PathRules:
         above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(dirs), F.lit(1))), lambda i: F.array_join(F.slice(dirs, 1, i), "/"))
         no = F.lit(False)
         some = lambda tests: reduce(lambda a, b: a | b, tests, no)
-        globs = lambda patterns, over: some([F.exists(over, lambda t, g=g: t.rlike("(?s)^" + glob_regex(g) + "$")) for g in patterns])
-        regexes = lambda patterns, over: some([F.exists(over, lambda t, r=r: t.rlike(r)) for r in patterns])
+        match = lambda over, regex: F.exists(over, lambda t: t.rlike(regex))
+        globs = lambda patterns, over: some([match(over, "(?s)^" + glob_regex(g) + "$") for g in patterns])
+        regexes = lambda patterns, over: some([match(over, r) for r in patterns])
         keep = F.lit(True)
         if skipped := self.excluded_dirs():
-            keep = keep & ~some([F.exists(dirs, lambda d, g=g: d.rlike("(?s)^" + glob_regex(g) + "$") if "*" in g else d == g) for g in skipped])
+            named = F.array(*(F.lit(d) for d in skipped if "*" not in d))
+            keep = keep & ~(F.arrays_overlap(dirs, named) | globs([d for d in skipped if "*" in d], dirs))
         included = globs(self.includes, tails) | regexes(self.include_files, tails)
         if self.includes or self.include_files:
             keep = keep & included

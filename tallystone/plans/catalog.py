@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallystone.functions import paths, scores, text
-from tallystone.operators import aggregate, estimate, health, history, regression, trend
+from tallystone.operators import aggregate, analyze, estimate, filters, health, history, regression, trend
 from tallystone.plans import bindings as B
 from tallystone.plans import oracle as O
 
@@ -360,3 +360,67 @@ SELECT language, c AS code_lines, round(2.4 * pow(c / 1000.0::DOUBLE, 1.05), 6)
 def estimate_by_lang(spark, sf_dir):
     rows = estimate.estimate_by_language(aggregate.by_language(B.file_stats(spark, sf_dir)))
     return rows.select("language", "code_lines", "effort_months", F.round("cost", 4).alias("cost"))
+
+
+# --- paths, languages, kernel -----------------------------------------------------------------------------------------
+
+
+@query("path_glob_filter", f"WITH {O.CORPUS} SELECT path FROM corpus WHERE NOT regexp_matches(path, '(^|/)src1[0-9]/') AND NOT regexp_matches(path, '_[0-9]*7[.]md$') AND NOT contains(path, '/de/')")
+def path_glob_filter(spark, sf_dir):
+    rules = filters.PathRules.parse(excludes="*_*7.md,src1?/**", exclude_dirs="^de$")
+    return B.corpus(spark, sf_dir).where(rules.keeps(F.col("path"))).select("path")
+
+
+@query("path_include_filter", f"WITH {O.CORPUS} SELECT path FROM corpus WHERE regexp_matches(path, '/doc_1[0-9]*[.]md$') OR regexp_matches(path, '^src5/.*3[.]md$')")
+def path_include_filter(spark, sf_dir):
+    rules = filters.PathRules.parse(includes="doc_1*.md", include_files="^src5/.*3[.]md$")
+    return B.corpus(spark, sf_dir).where(rules.keeps(F.col("path"))).select("path")
+
+
+@query("smart_exclude", """WITH p AS (SELECT p_partkey, ['src/a.rs', 'target/a.rs', 'x/node_modules/y.js', 'pkg.egg-info/z.py', 'a/targets/b.rs', 'deep/.git/config'][p_partkey % 6 + 1] AS path FROM part) SELECT p_partkey, path FROM p WHERE p_partkey % 6 IN (0, 4)""")
+def smart_exclude(spark, sf_dir):
+    shapes = ["src/a.rs", "target/a.rs", "x/node_modules/y.js", "pkg.egg-info/z.py", "a/targets/b.rs", "deep/.git/config"]
+    part = B.table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, shapes)), (F.col("p_partkey") % 6 + 1).cast("int")).alias("path"))
+    return part.where(filters.PathRules().keeps(F.col("path")))
+
+
+@query("language_detect", """SELECT p_partkey, ['Rust', 'Objective-C', 'Makefile', 'R', NULL, 'CMake', 'C', NULL][p_partkey % 8 + 1] AS language FROM part""")
+def language_detect(spark, sf_dir):
+    names = ["a/b.RS", "x.m", "sub/Makefile", "y.R", "z.unknown", "CMakeLists.txt", "h.h", "README"]
+    part = B.table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % 8 + 1).cast("int")).alias("path"))
+    return analyze.detect_languages(part).select("p_partkey", "language")
+
+
+@query("kernel_line_stats", f"WITH {O.CORPUS}, {_LINE_COUNTS} SELECT path, language, total, total - blank AS code, CAST(0 AS BIGINT) AS comment, blank, size, false AS functions_measured FROM m")
+def kernel_line_stats(spark, sf_dir):
+    """The kernel on texts without code: the same numbers as built-in expressions give."""
+    found = analyze.analyze(B.corpus(spark, sf_dir), options=analyze.Options(duplication=False)).file_stats
+    return found.select("path", "language", "lines.*", "size", "complexity.functions_measured")
+
+
+@query("complexity_pages")
+def complexity_pages(spark, sf_dir):
+    """Line classes and metrics of HTML pages by the kernel; markup has comments but no functions."""
+    found = analyze.analyze(B.pages(spark, sf_dir), options=analyze.Options(duplication=False)).file_stats
+    return found.select("path", "language", "lines.*", "size", "complexity.*")
+
+
+_RUST = "fn work_{k}(x: i32) -> i32 {{\n    if x > {k} && x < 9 {{ x }} else {{ 0 }}\n}}\n// note {k}\n\n#[cfg(test)]\nmod tests {{\n    #[test]\n    fn works() {{\n        assert_eq!(1, 1);\n    }}\n}}\n"
+
+
+@query("inline_test_regions", """SELECT 'src/f' || p_partkey || '.rs' AS path, r AS region, CASE r WHEN 'production' THEN 5 ELSE 7 END AS total, CASE r WHEN 'production' THEN 3 ELSE 7 END AS code, CASE r WHEN 'production' THEN 1 ELSE 0 END AS comment, CAST(1 AS BIGINT) AS functions,
+  CASE r WHEN 'production' THEN 4 ELSE 1 END AS cyclomatic FROM part, (VALUES ('production'), ('tests')) v(r)""")
+def inline_test_regions(spark, sf_dir):
+    part = B.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k"))
+    content = F.replace(F.lit(_RUST.replace("{k}", "\x01").replace("{{", "{").replace("}}", "}")), F.lit("\x01"), F.col("k"))
+    rows = part.select(F.concat(F.lit("src/f"), "k", F.lit(".rs")).alias("path"), content.alias("content"))
+    found = analyze.analyze(rows, options=analyze.Options(duplication=False)).regions
+    return found.select("path", "region", F.col("lines.total").cast("int").alias("total"), F.col("lines.code").cast("int").alias("code"), F.col("lines.comment").cast("int").alias("comment"), "complexity.functions", F.col("complexity.cyclomatic").cast("int").alias("cyclomatic"))
+
+
+@query("streaming_churn", f"WITH {O.LOG_B} SELECT path, CAST(to_timestamp(ts // 86400 * 86400) AS TIMESTAMP) AS day, count(*) AS commits, CAST(sum(added) AS BIGINT) AS lines_added FROM log GROUP BY 1, 2")
+def streaming_churn(spark, sf_dir):
+    """An extension: churn by day, the same expression on a table and on a stream with a watermark."""
+    from tallystone.streaming.churn import daily_churn
+
+    return daily_churn(B.log_b(spark, sf_dir)).select("path", F.col("day").cast("timestamp_ntz").alias("day"), "commits", "lines_added")

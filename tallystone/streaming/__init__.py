@@ -1 +1 @@
-
+"""Extensions for streams; the engine itself works on tables."""
