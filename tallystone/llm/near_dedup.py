@@ -4,11 +4,14 @@
    with the same set form a class; only a class's smallest document goes on.
 2. In each of TREES trees a node is the documents whose paths agree so far; a path is a chain of minwise tokens, one
    chosen sketch function a level. Nodes of at most NODE documents compare their sketches exhaustively; larger ones
-   branch on their next token. A node that is still large at the last level is compared with pivots only (its smallest
-   document and one drawn by a hash); it shares DEPTH minwise tokens, so what links it at all mostly links to these.
-   A pair of similarity 0.75 in small nodes is missed with a chance of 0.25**TREES; after four levels, with 0.68**TREES.
+   branch on their next token. What is still larger at the last level shares DEPTH minwise tokens; it is dealt to blocks
+   of that size, anew in every tree, and compared with pivots (its smallest document and one drawn by a hash).
+   A pair of similarity 0.75 whose nodes are small at once is missed with a chance of 0.25**TREES, at the fourth level
+   with 0.68**TREES.
 3. Sketches only propose: the full sets of the proposed documents are made again and each pair is confirmed on them.
-   In a node, of documents that are clearly similar to the same smaller one only the pairs with that one are proposed.
+   The first round proposes what should connect the documents of a node: pairs with the first one that is clearly
+   similar, and each document's best others. The second goes through all nodes again and proposes every pair that
+   sketches allow and that the links found so far do not connect, so no pair of a node is left out.
 4. Connected components of the confirmed links.
 
 Defined cases: words are runs of other than ASCII white space, A-Z lower-cased; a text of under five words is one shingle; a
@@ -29,9 +32,9 @@ from tallystone.llm.common import broadcast_within, materialize
 from tallystone.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
-HASHES, TREES, DEPTH, NODE = 96, 24, 8, 24
+HASHES, TREES, DEPTH, NODE = 96, 24, 12, 384
 #: Sketches must agree this far for a pair to be proposed, and this far to count as clearly similar.
-PROPOSE, CLEAR = 0.55, 0.88
+PROPOSE, CLEAR, BEST = 0.57, 0.88, 2
 #: Ids or small rows that may be broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -77,51 +80,76 @@ def _signatures(batches):
         sketch = sketches(sets, at)
         root = mixed(sketch[:, CHOSEN[:, 0]].astype(np.uint64) + (np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(32)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([s.tobytes() for s in sketch], pa.binary()),
+            [batch.column(0), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([s.tobytes() for s in sketch], pa.binary()), pa.array([s.tobytes() for s in sketch.astype(np.uint8)], pa.binary()),
              pa.ListArray.from_arrays(pa.array(np.arange(0, (len(texts) + 1) * TREES, TREES, dtype=np.int32)), pa.array(root.view(np.int64).ravel()))],
-            names=["id", "n", "s1", "s2", "sketch", "roots"],
+            names=["id", "n", "s1", "s2", "sketch", "marks", "roots"],
         )
 
 
-def _proposed(batches):
-    """Pairs (a, b) that sketches propose, of rows (key, id, n, sketch) whose nodes lie together."""
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        keys = table.column(0).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last node may go on in the next batch
-        yield from _compared(table.slice(0, cut))
-        held = table.slice(cut)
-    if held is not None:
-        yield from _compared(held)
-
-
-def _compared(table):
-    if not table.num_rows:
-        return
+def _by_node(compare):
+    """A function of Arrow batches that hands compare() the rows of whole nodes; rows (key, ...) come sorted by key."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = table.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last node may go on in the next batch
+            yield from _pairs(*compare(table.slice(0, cut)))
+            held = table.slice(cut)
+        if held is not None:
+            yield from _pairs(*compare(held))
+
+    return run
+
+
+def _pairs(a, b):
+    for k in range(0, len(a), 1 << 16):
+        x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
+def _close(table, apart=None):
+    """(ids, i, j, agreement) of the pairs of rows of one node whose sizes and sketches allow a link.
+
+    table: key, id, n, marks. apart: only pairs with different values of it.
+    """
     keys, ids, n = (table.column(i).to_numpy() for i in range(3))
-    sketch = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint32).reshape(len(ids), HASHES)
-    pairs = []
-    longest = int(np.diff(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))).max())
+    marks = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint8).reshape(len(ids), HASHES)
+    found = []
+    longest = int(np.diff(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))).max()) if len(ids) else 0
     for k in range(1, longest):
         i = np.flatnonzero(keys[:-k] == keys[k:])
         j = i + k
         fits = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+        if apart is not None:
+            fits &= apart[i] != apart[j]
         i, j = i[fits], j[fits]
         for lo in range(0, len(i), 1 << 14):
             x, y = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
-            same = (sketch[x] == sketch[y]).mean(axis=1)
+            same = (marks[x] == marks[y]).mean(axis=1)
             ok = same >= PROPOSE
-            pairs.append(np.stack([x[ok], y[ok], same[ok] >= CLEAR]))
-    if not pairs:
-        return
-    i, j, clear = np.concatenate(pairs, axis=1)
-    clear = clear.astype(bool)
+            found.append(np.stack([x[ok], y[ok], same[ok]]))
+    i, j, same = np.concatenate(found, axis=1) if found else np.empty((3, 0))
+    return ids, i.astype(np.int64), j.astype(np.int64), same
+
+
+def _first_round(table):
+    ids, i, j, same = _close(table)
+    clear = same >= CLEAR
     hub = np.arange(len(ids))
     np.minimum.at(hub, j[clear], i[clear])  # the first row of the node that is clearly similar
-    wanted = ~clear | (hub[i] != hub[j]) | (hub[j] == i)
-    a, b = ids[i[wanted]], ids[j[wanted]]
-    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    wanted = clear & ((hub[i] != hub[j]) | (hub[j] == i))
+    x, y, s = (np.concatenate([u[~clear], v[~clear]]) for u, v in ((i, j), (j, i), (same, same)))
+    order = np.lexsort((y, -s, x))
+    x, y = x[order], y[order]
+    best = np.arange(len(x)) - np.searchsorted(x, x) < BEST
+    return ids[np.concatenate([i[wanted], x[best]])], ids[np.concatenate([j[wanted], y[best]])]
+
+
+def _second_round(table):
+    ids, i, j, _ = _close(table, table.column(4).to_numpy() if table.num_rows else None)
+    return ids[i], ids[j]
 
 
 def _shingle_sets(batches):
@@ -143,17 +171,20 @@ def _confirmed(batches):
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def propose(reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) worth confirming, of rows (id, n, sketch, roots)."""
+def nodes_and_stars(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(key, id) of the nodes to compare, and pairs (a, b) with pivots of what is still large at the last level.
+
+    reps: id, sketch, roots.
+    """
     frontier = reps.select("id", F.posexplode("roots").alias("tree", "key"))
-    members, pairs = [], None
+    members, star = [], None
     for level in range(DEPTH):
         nodes = frontier.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("mark")).where("size > 1")
         nodes = materialize(nodes, "nodes")
         # nodes of several trees with the same documents are compared once
         small = nodes.where(F.col("size") <= NODE).groupBy("size", "mark").agg(F.min("key").alias("key")).select("key")
         members.append(materialize(frontier.join(broadcast_within(small, MAX_BROADCAST_ROWS), "key").select("key", "id"), "members"))
-        large = nodes.where(F.col("size") > NODE).select("key")
+        large = nodes.where(F.col("size") > NODE).select("key", "size")
         if large.isEmpty():
             break
         inside = materialize(frontier.join(broadcast_within(large, MAX_BROADCAST_ROWS), "key"), "large")
@@ -162,37 +193,56 @@ def propose(reps: DataFrame) -> DataFrame:
             step = F.xxhash64("key", F.substring("sketch", F.element_at(token, F.col("tree") + 1), F.lit(4)))
             frontier = materialize(inside.join(reps.select("id", "sketch"), "id").select("id", "tree", step.alias("key")), "frontier")
         else:
+            block = F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("size") * 2 / NODE))
+            members.append(materialize(inside.select(F.xxhash64("key", block).alias("key"), "id"), "blocks"))
             draw = F.struct(F.xxhash64("id", "key").alias("draw"), "id")
             pivots = materialize(inside.groupBy("key").agg(F.min("id").alias("p"), F.min(draw)["id"].alias("q")), "pivots")
-            star = inside.join(broadcast_within(pivots, MAX_BROADCAST_ROWS), "key").select("id", F.explode(F.array("p", "q")).alias("pivot"))
-            pairs = star.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+            ends = inside.join(broadcast_within(pivots, MAX_BROADCAST_ROWS), "key").select("id", F.explode(F.array("p", "q")).alias("pivot"))
+            star = ends.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
     together = members[0]
     for m in members[1:]:
         together = together.unionByName(m)
-    rows = together.join(reps.select("id", "n", "sketch"), "id").select("key", "id", "n", "sketch")
-    near = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_proposed, "a long, b long")
-    return (near if pairs is None else near.unionByName(pairs)).distinct()
+    return together, star
+
+
+def confirm(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar. own: id, text of all documents."""
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = own.join(broadcast_within(materialize(wanted, "wanted"), MAX_BROADCAST_ROWS), "id", "left_semi").mapInArrow(_shingle_sets, "id long, shingles binary")
+    sets = materialize(sets, "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long"), "confirmed")
+
+
+def similar(reps: DataFrame, own: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) that connect all similar documents among reps (id, n, sketch, marks, roots)."""
+    together, star = nodes_and_stars(reps)
+    rows = together.join(reps.select("id", "n", "marks"), "id").select("key", "id", "n", "marks")
+    rows = materialize(rows, "node-rows")
+    arranged = lambda df: df.repartition("key").sortWithinPartitions("key", "id")
+    near = arranged(rows).mapInArrow(_by_node(_first_round), "a long, b long")
+    first = materialize((near if star is None else near.unionByName(star)).distinct(), "pairs")
+    links = confirm(first, own)
+    found = materialize(components(links), "components")
+    labelled = rows.join(broadcast_within(found.withColumnRenamed("node", "id"), MAX_BROADCAST_ROWS), "id", "left").select("key", "id", "n", "marks", F.coalesce("component", "id").alias("component"))
+    left = arranged(labelled).mapInArrow(_by_node(_second_round), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    left = materialize(left, "more-pairs")
+    return links if left.isEmpty() else links.unionByName(confirm(left, own))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = own.mapInArrow(_signatures, "id long, n long, s1 long, s2 long, sketch binary, roots array<long>")
+    signed = own.mapInArrow(_signatures, "id long, n long, s1 long, s2 long, sketch binary, marks binary, roots array<long>")
     signed = materialize(signed, "sketches")
     # classes of equal sets, by their smallest document; only classes of several need rows of their own
     full = signed.where("n > 0 and id is not null")
     classes = materialize(full.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1").drop("size"), "classes")
     named = full.select("id", "n", "s1", "s2").join(broadcast_within(classes, MAX_BROADCAST_ROWS), ["n", "s1", "s2"]).select("id", "rep").where("id <> rep")
     named = materialize(named.distinct(), "copies")
-    reps = full.join(named.select("id").distinct(), "id", "left_anti").select("id", "n", "sketch", "roots")
+    reps = full.join(named.select("id").distinct(), "id", "left_anti").select("id", "n", "sketch", "marks", "roots")
     reps = materialize(reps.dropDuplicates(["id"]), "classes-sketches")
-    pairs = materialize(propose(reps), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = own.join(broadcast_within(materialize(wanted, "wanted"), MAX_BROADCAST_ROWS), "id", "left_semi").mapInArrow(_shingle_sets, "id long, shingles binary")
-    sets = materialize(sets, "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    links = materialize(both.select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long"), "confirmed")
+    links = similar(reps, own)
     found = components(links.unionByName(named.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
     found = materialize(found, "components")
     out = signed.select("id", "n").join(broadcast_within(found, MAX_BROADCAST_ROWS), F.col("id") == F.col("node"), "left")
