@@ -34,6 +34,7 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS, overh
     start = F.pmod(F.xxhash64("row"), F.lit(n_shards)).cast("int")
 
     groups = base.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    groups = materialize(groups, "shard-groups")  # a table, so that a hot group's join can be split
     linked = base.join(groups, "key").select("row", "key", F.pmod(F.xxhash64("row", F.lit(3)), F.ceil(F.col("n") / part)).cast("int").alias("chunk"), start.alias("shard"))
     linked = materialize(linked, "shard-links")
     votes = linked.groupBy("key", "chunk", "shard").agg(F.count("*").alias("votes"))
