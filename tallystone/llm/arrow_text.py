@@ -48,6 +48,7 @@ def chunks(batches, text_at: int, max_bytes: int = 1 << 20):
             size += len(text or b"")
         if texts:
             yield batch.slice(start), texts
+        pa.default_memory_pool().release_unused()
 
 
 class Words:
