@@ -5,7 +5,7 @@
 2. In each of TREES trees a node is the documents whose paths agree so far; a path is a chain of minwise tokens, one
    chosen sketch function a level. Nodes of at most NODE documents compare their sketches exhaustively; larger ones
    branch on their next token. What is still larger at the last level shares DEPTH minwise tokens; it is dealt to blocks
-   of that size, anew in every tree, and compared with pivots (its smallest document and one drawn by a hash).
+   of that size, anew in every tree, and compared with its smallest document.
    A pair of similarity 0.75 whose nodes are small at once is missed with a chance of 0.25**TREES, at the fourth level
    with 0.68**TREES.
 3. Sketches only propose: the full sets of the proposed documents are made again and each pair is confirmed on them.
@@ -16,7 +16,7 @@
 
 Defined cases: words are runs of other than ASCII white space, A-Z lower-cased; a text of under five words is one shingle; a
 null text or one without words has an empty set, no links and itself as component; repeated rows are copies and each
-has a result row; rows that share a doc_id are one document for links; a null doc_id has no component and is kept; an
+has a result row; rows that share a doc_id are one document, with one of its texts for links; a null doc_id has no component and is kept; an
 empty table gives an empty result; columns beside doc_id and text are ignored.
 """
 
@@ -32,9 +32,9 @@ from tallystone.llm.common import broadcast_within, materialize
 from tallystone.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
-HASHES, TREES, DEPTH, NODE = 96, 24, 12, 384
-#: Sketches must agree this far for a pair to be proposed, and this far to count as clearly similar.
-PROPOSE, CLEAR, BEST = 0.57, 0.88, 2
+HASHES, TREES, DEPTH, NODE = 256, 24, 8, 384
+#: Sketches must agree this far for a pair to be proposed (3.7 standard errors below 0.75), and this far to be clearly similar.
+PROPOSE, CLEAR, BEST = 0.65, 0.85, 1
 #: Ids or small rows that may be broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -80,9 +80,9 @@ def _signatures(batches):
         sketch = sketches(sets, at)
         root = mixed(sketch[:, CHOSEN[:, 0]].astype(np.uint64) + (np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(32)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([s.tobytes() for s in sketch], pa.binary()), pa.array([s.tobytes() for s in sketch.astype(np.uint8)], pa.binary()),
+            [batch.column(0), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([s.tobytes() for s in sketch.astype(np.uint8)], pa.binary()),
              pa.ListArray.from_arrays(pa.array(np.arange(0, (len(texts) + 1) * TREES, TREES, dtype=np.int32)), pa.array(root.view(np.int64).ravel()))],
-            names=["id", "n", "s1", "s2", "sketch", "marks", "roots"],
+            names=["id", "n", "s1", "s2", "marks", "roots"],
         )
 
 
@@ -174,35 +174,35 @@ def _confirmed(batches):
 def nodes_and_stars(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(key, id) of the nodes to compare, and pairs (a, b) with pivots of what is still large at the last level.
 
-    reps: id, sketch, roots.
+    reps: id, marks (the low byte of each sketch value, which chains of tokens are made of), roots.
     """
     frontier = reps.select("id", F.posexplode("roots").alias("tree", "key"))
     members, star = [], None
     for level in range(DEPTH):
         nodes = frontier.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("mark")).where("size > 1")
         nodes = materialize(nodes, "nodes")
+        n_small, n_large = nodes.agg(F.count_if(F.col("size") <= NODE), F.count_if(F.col("size") > NODE)).first()
+        hint = lambda df, n: F.broadcast(df) if n <= MAX_BROADCAST_ROWS else df
         # nodes of several trees with the same documents are compared once
         small = nodes.where(F.col("size") <= NODE).groupBy("size", "mark").agg(F.min("key").alias("key")).select("key")
-        members.append(materialize(frontier.join(broadcast_within(small, MAX_BROADCAST_ROWS), "key").select("key", "id"), "members"))
-        large = nodes.where(F.col("size") > NODE).select("key", "size")
-        if large.isEmpty():
+        members.append(frontier.join(hint(small, n_small), "key").select("key", "id"))
+        if not n_large:
             break
-        inside = materialize(frontier.join(broadcast_within(large, MAX_BROADCAST_ROWS), "key"), "large")
+        inside = frontier.join(hint(nodes.where(F.col("size") > NODE).select("key", "size"), n_large), "key")
         if level + 1 < DEPTH:
-            token = F.array(*(F.lit(int(4 * f + 1)) for f in CHOSEN[:, level + 1]))
-            step = F.xxhash64("key", F.substring("sketch", F.element_at(token, F.col("tree") + 1), F.lit(4)))
-            frontier = materialize(inside.join(reps.select("id", "sketch"), "id").select("id", "tree", step.alias("key")), "frontier")
+            token = F.array(*(F.lit(int(f + 1)) for f in CHOSEN[:, level + 1]))
+            step = F.xxhash64("key", F.substring("marks", F.element_at(token, F.col("tree") + 1), F.lit(1)))
+            frontier = materialize(inside.join(reps.select("id", "marks"), "id").select("id", "tree", step.alias("key")), "frontier")
         else:
+            inside = materialize(inside, "large")
             block = F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("size") * 2 / NODE))
-            members.append(materialize(inside.select(F.xxhash64("key", block).alias("key"), "id"), "blocks"))
-            draw = F.struct(F.xxhash64("id", "key").alias("draw"), "id")
-            pivots = materialize(inside.groupBy("key").agg(F.min("id").alias("p"), F.min(draw)["id"].alias("q")), "pivots")
-            ends = inside.join(broadcast_within(pivots, MAX_BROADCAST_ROWS), "key").select("id", F.explode(F.array("p", "q")).alias("pivot"))
-            star = ends.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+            members.append(inside.select(F.xxhash64("key", block).alias("key"), "id"))
+            pivots = materialize(inside.groupBy("key").agg(F.min("id").alias("pivot")), "pivots")
+            star = inside.join(hint(pivots, n_large), "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     together = members[0]
     for m in members[1:]:
         together = together.unionByName(m)
-    return together, star
+    return materialize(together, "members"), star
 
 
 def confirm(pairs: DataFrame, own: DataFrame) -> DataFrame:
@@ -215,10 +215,9 @@ def confirm(pairs: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def similar(reps: DataFrame, own: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) that connect all similar documents among reps (id, n, sketch, marks, roots)."""
+    """(node, component) of all similar documents among reps (id, n, marks, roots)."""
     together, star = nodes_and_stars(reps)
-    rows = together.join(reps.select("id", "n", "marks"), "id").select("key", "id", "n", "marks")
-    rows = materialize(rows, "node-rows")
+    rows = materialize(together.join(reps.select("id", "n", "marks"), "id").select("key", "id", "n", "marks"), "node-rows")
     arranged = lambda df: df.repartition("key").sortWithinPartitions("key", "id")
     near = arranged(rows).mapInArrow(_by_node(_first_round), "a long, b long")
     first = materialize((near if star is None else near.unionByName(star)).distinct(), "pairs")
@@ -227,23 +226,32 @@ def similar(reps: DataFrame, own: DataFrame) -> DataFrame:
     labelled = rows.join(broadcast_within(found.withColumnRenamed("node", "id"), MAX_BROADCAST_ROWS), "id", "left").select("key", "id", "n", "marks", F.coalesce("component", "id").alias("component"))
     left = arranged(labelled).mapInArrow(_by_node(_second_round), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     left = materialize(left, "more-pairs")
-    return links if left.isEmpty() else links.unionByName(confirm(left, own))
+    if left.isEmpty() or (more := confirm(left, own)).isEmpty():
+        return found
+    return materialize(components(links.unionByName(more)), "components")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = own.mapInArrow(_signatures, "id long, n long, s1 long, s2 long, sketch binary, marks binary, roots array<long>")
+    signed = own.mapInArrow(_signatures, "id long, n long, s1 long, s2 long, marks binary, roots array<long>")
     signed = materialize(signed, "sketches")
     # classes of equal sets, by their smallest document; only classes of several need rows of their own
     full = signed.where("n > 0 and id is not null")
     classes = materialize(full.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1").drop("size"), "classes")
     named = full.select("id", "n", "s1", "s2").join(broadcast_within(classes, MAX_BROADCAST_ROWS), ["n", "s1", "s2"]).select("id", "rep").where("id <> rep")
     named = materialize(named.distinct(), "copies")
-    reps = full.join(named.select("id").distinct(), "id", "left_anti").select("id", "n", "sketch", "marks", "roots")
-    reps = materialize(reps.dropDuplicates(["id"]), "classes-sketches")
-    links = similar(reps, own)
-    found = components(links.unionByName(named.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
+    reps = full.join(named.select("id").distinct(), "id", "left_anti").select("id", "n", "marks", "roots")
+    reps = materialize(reps.dropDuplicates(["id"]), "reps")
+    found = similar(reps, own)
+    # a copy has its class's component, and an id that several rows share joins what they are linked with
+    linked = found.select("node", "component").unionByName(named.select(F.col("id").alias("node"), F.col("rep").alias("component")).where("node <> component"))
+    many = linked.groupBy("node").count().where("count > 1").limit(1)
+    of_copies = named.withColumnRenamed("id", "copy").join(broadcast_within(found, MAX_BROADCAST_ROWS), F.col("rep") == F.col("node"), "left").select(F.col("copy").alias("node"), F.coalesce("component", "rep").alias("component"))
+    if many.isEmpty():
+        found = found.unionByName(of_copies)
+    else:
+        found = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
     found = materialize(found, "components")
     out = signed.select("id", "n").join(broadcast_within(found, MAX_BROADCAST_ROWS), F.col("id") == F.col("node"), "left")
     component = F.coalesce("component", "id")
