@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -37,6 +38,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """At most n rows in an Arrow batch for the jobs that run inside, for rows that carry much."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether df has at most max_rows rows; reads no more than that many."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -10,8 +10,8 @@
    with 0.68**TREES.
 3. Sketches only propose: the full sets of the proposed documents are made again and each pair is confirmed on them.
    The first round proposes what should connect the documents of a node: pairs with the first one that is clearly
-   similar, and each document's best others. The second goes through all nodes again and proposes every pair that
-   sketches allow and that the links found so far do not connect, so no pair of a node is left out.
+   similar, and each document's best others. The second goes through all nodes again with every pair that sketches
+   allow and that the links found so far do not connect, and confirms them inside the node, so none is left out.
 4. Connected components of the confirmed links.
 
 Defined cases: words are runs of other than ASCII white space, A-Z lower-cased; a text of under five words is one shingle; a
@@ -28,15 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.llm.arrow_text import Words, chunks, mixed
-from tallystone.llm.common import broadcast_within, materialize
+from tallystone.llm.common import arrow_rows, broadcast_within, materialize
 from tallystone.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
-HASHES, TREES, DEPTH, NODE = 256, 24, 8, 384
-#: Sketches must agree this far for a pair to be proposed (3.7 standard errors below 0.75), and this far to be clearly similar.
-PROPOSE, CLEAR, BEST = 0.65, 0.85, 1
+HASHES, TREES, DEPTH, NODE = 256, 18, 8, 1024
+#: Sketches must agree this far for a pair to be proposed (4.4 standard errors below 0.75), and this far to be clearly similar.
+PROPOSE, CLEAR, BEST = 0.63, 0.85, 1
 #: Ids or small rows that may be broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
+#: Rows with full sets in an Arrow batch.
+SET_ROWS = 500
 
 _RANDOM = np.random.default_rng(20)
 _XOR = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -90,15 +92,19 @@ def _by_node(compare):
     """A function of Arrow batches that hands compare() the rows of whole nodes; rows (key, ...) come sorted by key."""
 
     def run(batches):
-        held = None
+        held: list[pa.RecordBatch] = []  # rows of the last node, which may go on in the next batch
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            keys = table.column(0).to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last node may go on in the next batch
-            yield from _pairs(*compare(table.slice(0, cut)))
-            held = table.slice(cut)
-        if held is not None:
-            yield from _pairs(*compare(held))
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            if held and keys[-1] == held[0].column(0)[-1].as_py():
+                held.append(batch)
+                continue
+            cut = int(np.searchsorted(keys, keys[-1]))
+            yield from compare(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = [batch.slice(cut)]
+        if held:
+            yield from compare(pa.Table.from_batches(held))
 
     return run
 
@@ -144,12 +150,40 @@ def _first_round(table):
     order = np.lexsort((y, -s, x))
     x, y = x[order], y[order]
     best = np.arange(len(x)) - np.searchsorted(x, x) < BEST
-    return ids[np.concatenate([i[wanted], x[best]])], ids[np.concatenate([j[wanted], y[best]])]
+    yield from _pairs(ids[np.concatenate([i[wanted], x[best]])], ids[np.concatenate([j[wanted], y[best]])])
 
 
-def _second_round(table):
-    ids, i, j, _ = _close(table, table.column(4).to_numpy() if table.num_rows else None)
-    return ids[i], ids[j]
+def _apart(table):
+    """The rows of a node that sketches allow a link with one of another component."""
+    if table.num_rows:
+        _, i, j, _ = _close(table, table.column(4).to_numpy())
+        yield from table.take(pa.array(np.union1d(i, j))).to_batches()
+
+
+def _joined(table):
+    """Links between different components of a node, confirmed on the full sets (column 5), until it has none apart."""
+    if not table.num_rows:
+        return
+    component = table.column(4).to_numpy().copy()
+    ids, i, j, _ = _close(table, component)
+    sets = [np.frombuffer(x, np.uint64) for x in table.column(5).to_pylist()]
+    found = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        if component[x] != component[y] and _similar(sets[x], sets[y]):
+            component[component == component[y]] = component[x]
+            found.append((x, y))
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    yield from _pairs(ids[a], ids[b])
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets share enough."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if not len(small):
+        return False
+    at = np.searchsorted(large, small)
+    shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * shared >= PERCENT * (len(x) + len(y) - shared)
 
 
 def _shingle_sets(batches):
@@ -161,13 +195,7 @@ def _shingle_sets(batches):
 
 def _confirmed(batches):
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            small, large = (x, y) if len(x) < len(y) else (y, x)
-            at = np.searchsorted(large, small)
-            both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-            keep.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
+        keep = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -192,7 +220,9 @@ def nodes_and_stars(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if level + 1 < DEPTH:
             token = F.array(*(F.lit(int(f + 1)) for f in CHOSEN[:, level + 1]))
             step = F.xxhash64("key", F.substring("marks", F.element_at(token, F.col("tree") + 1), F.lit(1)))
-            frontier = materialize(inside.join(reps.select("id", "marks"), "id").select("id", "tree", step.alias("key")), "frontier")
+            if level == 0:  # from here on the few rows that branch carry their marks
+                inside = inside.join(reps.select("id", "marks"), "id")
+            frontier = materialize(inside.select("id", "tree", "marks", step.alias("key")), "frontier")
         else:
             inside = materialize(inside, "large")
             block = F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("size") * 2 / NODE))
@@ -205,30 +235,39 @@ def nodes_and_stars(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return materialize(together, "members"), star
 
 
+def full_sets(ids: DataFrame, own: DataFrame) -> DataFrame:
+    """(id, shingles) of the documents in ids. own: id, text of all documents."""
+    wanted = materialize(ids.select("id").distinct(), "wanted")
+    return materialize(own.join(broadcast_within(wanted, MAX_BROADCAST_ROWS), "id", "left_semi").mapInArrow(_shingle_sets, "id long, shingles binary"), "sets")
+
+
 def confirm(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar. own: id, text of all documents."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = own.join(broadcast_within(materialize(wanted, "wanted"), MAX_BROADCAST_ROWS), "id", "left_semi").mapInArrow(_shingle_sets, "id long, shingles binary")
-    sets = materialize(sets, "sets")
+    """Those of the pairs (a, b) whose full sets are similar."""
+    sets = full_sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), own)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return materialize(both.select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long"), "confirmed")
 
 
 def similar(reps: DataFrame, own: DataFrame) -> DataFrame:
     """(node, component) of all similar documents among reps (id, n, marks, roots)."""
+    spark = reps.sparkSession
     together, star = nodes_and_stars(reps)
     rows = materialize(together.join(reps.select("id", "n", "marks"), "id").select("key", "id", "n", "marks"), "node-rows")
     arranged = lambda df: df.repartition("key").sortWithinPartitions("key", "id")
     near = arranged(rows).mapInArrow(_by_node(_first_round), "a long, b long")
     first = materialize((near if star is None else near.unionByName(star)).distinct(), "pairs")
-    links = confirm(first, own)
+    with arrow_rows(spark, SET_ROWS):
+        links = confirm(first, own)
     found = materialize(components(links), "components")
+    schema = "key long, id long, n long, marks binary, component long"
     labelled = rows.join(broadcast_within(found.withColumnRenamed("node", "id"), MAX_BROADCAST_ROWS), "id", "left").select("key", "id", "n", "marks", F.coalesce("component", "id").alias("component"))
-    left = arranged(labelled).mapInArrow(_by_node(_second_round), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    left = materialize(left, "more-pairs")
-    if left.isEmpty() or (more := confirm(left, own)).isEmpty():
+    apart = materialize(arranged(labelled).mapInArrow(_by_node(_apart), schema), "apart")
+    if apart.isEmpty():
         return found
-    return materialize(components(links.unionByName(more)), "components")
+    whole = apart.join(full_sets(apart, own), "id").select("key", "id", "n", "marks", "component", "shingles")
+    with arrow_rows(spark, SET_ROWS):
+        more = materialize(arranged(whole).mapInArrow(_by_node(_joined), "a long, b long").distinct(), "more-links")
+    return found if more.isEmpty() else materialize(components(links.unionByName(more)), "components")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
