@@ -127,7 +127,7 @@ class Analysis:
 
     @cached_property
     def _source(self) -> DataFrame:
-        return self.rows.select("path", F.decode(text.without_bom(F.col("content")), "UTF-8").alias("content"), F.col("k.measurable").alias("ok"))
+        return self.rows.select("path", F.make_valid_utf8(text.without_bom(F.col("content")).cast("string")).alias("content"), F.col("k.measurable").alias("ok"))
 
     @cached_property
     def lines(self) -> DataFrame:

@@ -32,7 +32,7 @@ class Snapshot:
 
 class SnapshotStore:
     def __init__(self, folder: str | Path):
-        self.folder = Path(folder)
+        self.folder = Path(folder).resolve()  # Spark and Python may have different working folders
 
     def save(self, files: DataFrame, regions: DataFrame | None = None, label: str | None = None, commit: str | None = None, branch: str | None = None, duplication: bool = True, now_ns: int | None = None) -> Snapshot:
         now = time.time_ns() if now_ns is None else now_ns

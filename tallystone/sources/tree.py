@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tallystone.functions import paths
 from tallystone.operators.filters import PathRules, glob_regex
 
-IGNORE_FILES = (".gitignore", ".tallystoneignore")
+IGNORE_FILES, OWN_DIR = (".gitignore", ".tallystoneignore"), ".tallystone"
 
 
 def _ignore_regex(pattern: str) -> str:
@@ -98,7 +98,7 @@ def walk(root: str, rules: PathRules | None = None, ignore: bool = True, ignore_
             if said:
                 continue
             if is_dir:
-                if not rules.keeps_dir(path):
+                if entry.name == OWN_DIR or not rules.keeps_dir(path):
                     continue
                 if not rules.depth or depth < rules.depth:
                     enter(entry.path, path, active, depth + 1)
@@ -119,7 +119,7 @@ def read_paths(spark: SparkSession, files: list[str]) -> DataFrame:
     given = {os.path.abspath(f): f for f in files}
     rows = spark.read.format("binaryFile").load(list(given))
     names = spark.createDataFrame(list(given.items()), "_full string, _given string")
-    rows = rows.withColumn("_full", F.url_decode(F.regexp_replace(F.replace("path", F.lit("+"), F.lit("%2B")), "^file:/*", "/")))
+    rows = rows.withColumn("_full", F.regexp_replace("path", "^file:/*", "/"))
     return rows.join(F.broadcast(names), "_full").select(F.col("_given").alias("path"), "content")  # the driver's own list
 
 
@@ -137,7 +137,7 @@ def scan_tree(spark: SparkSession, roots: list[str], rules: PathRules | None = N
 def scan_distributed(spark: SparkSession, root: str, rules: PathRules | None = None) -> DataFrame:
     """(path, content) of a tree in any store that Spark reads; paths are relative to root and filtered before content is read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/*", "/")
-    path = F.substring(F.col("path"), F.locate(base, F.col("path")) + F.length(base) + 1, F.length("path"))
-    rows = rows.withColumn("path", F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))))
+    base = re.sub("^file:/*", "/", root.rstrip("/")) + "/"
+    path = F.substring(F.col("path"), F.locate(base, F.col("path")) + len(base), F.length("path"))
+    rows = rows.withColumn("path", path)
     return rows.where((rules or PathRules()).keeps(F.col("path"))).select(paths.lexical(F.col("path")).alias("path"), "content")
