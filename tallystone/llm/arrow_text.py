@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -32,6 +35,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
+def give_back() -> None:
+    """Returns memory that Arrow and the C library keep for later to the system; workers live longer than their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches, text_at: int, max_bytes: int = 1 << 20):
     """(slice of a batch, its texts as bytes or None) with about max_bytes of text each; a longer text comes alone."""
     for batch in batches:
@@ -48,7 +58,7 @@ def chunks(batches, text_at: int, max_bytes: int = 1 << 20):
             size += len(text or b"")
         if texts:
             yield batch.slice(start), texts
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 class Words:

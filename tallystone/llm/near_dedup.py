@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.llm.arrow_text import Words, chunks, mixed
+from tallystone.llm.arrow_text import Words, chunks, give_back, mixed
 from tallystone.llm.common import arrow_rows, broadcast_within, materialize
 from tallystone.llm.components import components
 
@@ -37,8 +37,8 @@ HASHES, TREES, DEPTH, NODE = 256, 18, 8, 1024
 PROPOSE, CLEAR, BEST = 0.63, 0.85, 1
 #: Ids or small rows that may be broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
-#: Rows with full sets in an Arrow batch.
-SET_ROWS = 500
+#: Rows with full sets in an Arrow batch; pairs of rows that are compared at once.
+SET_ROWS, PART_PAIRS = 500, 500_000
 
 _RANDOM = np.random.default_rng(20)
 _XOR = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -101,14 +101,29 @@ def _by_node(compare):
                 held.append(batch)
                 continue
             cut = int(np.searchsorted(keys, keys[-1]))
-            yield from compare(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            yield from _in_parts(compare, pa.Table.from_batches([*held, batch.slice(0, cut)]))
             held = [batch.slice(cut)]
+            give_back()
         if held:
-            yield from compare(pa.Table.from_batches(held))
+            yield from _in_parts(compare, pa.Table.from_batches(held))
+        give_back()
 
     return run
 
 
+def _in_parts(compare, table):
+    """compare() for some whole nodes at a time, so many that they have about PART_PAIRS pairs."""
+    keys = table.column(0).to_numpy()
+    if not len(keys):
+        return
+    ends = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]])) + 1
+    sizes = np.diff(ends, prepend=0)
+    part = np.cumsum(sizes * sizes // 2) // PART_PAIRS
+    cuts = [0, *ends[np.flatnonzero(part[1:] != part[:-1])].tolist(), len(keys)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield from compare(table.slice(a, b - a))
+
+
 def _pairs(a, b):
     for k in range(0, len(a), 1 << 16):
         x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
@@ -135,9 +150,9 @@ def _close(table, apart=None):
             x, y = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
             same = (marks[x] == marks[y]).mean(axis=1)
             ok = same >= PROPOSE
-            found.append(np.stack([x[ok], y[ok], same[ok]]))
-    i, j, same = np.concatenate(found, axis=1) if found else np.empty((3, 0))
-    return ids, i.astype(np.int64), j.astype(np.int64), same
+            found.append((x[ok], y[ok], same[ok]))
+    i, j, same = (np.concatenate(p) for p in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    return ids, i, j, same
 
 
 def _first_round(table):
