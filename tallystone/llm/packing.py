@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 WINDOW, END_ID, TIERS, STEP = 4096, 2, (512, 1024, 2048, 4096), 16
 #: Tokens that wait in a worker before windows are built, and words whose ids a worker keeps (twice as many at most).
-ROUND_TOKENS, KEPT_WORDS = 1 << 20, 250_000
+ROUND_TOKENS, KEPT_WORDS = 1 << 20, 350_000
 #: Documents whose words are looked up together.
 DOCS = 512
 #: White space to Python but not to the tokenizer, or the other way round: such texts are encoded whole.
@@ -62,7 +62,7 @@ class Encoder:
         self.lowers = "Lowercase" in kinds
         # letters can go to the model as they are where the steps before it are known to leave a run of them alone
         self.plain = kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _LETTER_RUNS} and not steps[1]["add_prefix_space"]
-        self.bytes = _byte_letters()
+        self.bytes, self.pieces = _byte_letters(), self.model.model.tokenize
         self.kept, self.older = {}, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -73,7 +73,7 @@ class Encoder:
         found = self.kept.get(letters) or self.older.get(letters)
         if found is None:
             seen = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.bytes)
-            found = array("I", [t.id for t in self.model.model.tokenize(seen)]).tobytes()
+            found = array("I", [t.id for t in self.pieces(seen)]).tobytes()
             if len(letters) <= 64:
                 self.kept[letters] = found
         return found
@@ -83,7 +83,7 @@ class Encoder:
         out, rest = {}, []
         for w in words:
             letters = w.rstrip(_SIGNS)
-            if self.plain and letters.isalpha() and letters.islower() and not _WIDE.search(letters):
+            if self.plain and letters.isalpha() and letters.islower() and (letters.isascii() or not _WIDE.search(letters)):
                 out[w] = self._run(letters)
                 if signs := w[len(letters) :]:
                     if signs not in self.kept:
