@@ -14,6 +14,8 @@ from tallystone.llm.common import broadcast_within, materialize
 
 #: Ids of dropped documents that may be broadcast; more are joined by a shuffle.
 MAX_BROADCAST_ROWS = 2_000_000
+#: Words whose ids a packing worker keeps: fewer than packing alone does, as earlier stages have filled the executors' heap.
+KEPT_WORDS = 150_000
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -49,7 +51,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4096 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, kept_words=KEPT_WORDS)
 
 
 STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("decontamination", decontamination_stage), ("packing", packing_stage)]

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallystone.llm.arrow_text import give_back
+
 WINDOW, END_ID, TIERS, STEP = 4096, 2, (512, 1024, 2048, 4096), 16
 #: Tokens that wait in a worker before windows are built, and words whose ids a worker keeps (twice as many at most).
 ROUND_TOKENS, KEPT_WORDS = 1 << 20, 350_000
@@ -189,8 +191,11 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of all documents. tokenizer: a file for tokenizers, by default the public word_bpe_49k.json."""
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", kept_words: int = KEPT_WORDS) -> DataFrame:
+    """The pieces of all documents. tokenizer: a file for tokenizers, by default the public word_bpe_49k.json.
+
+    kept_words: how many words' ids a worker keeps, twice at most; fewer take less memory and more time.
+    """
     kind = docs.schema[id_col].dataType
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
     schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(x, T.LongType()) for x in names)])
@@ -204,7 +209,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, wi
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        encode, packer = Encoder(path, end_id), Packer(TaskContext.get().partitionId() << 40, window, tiers)
+        encode, packer = Encoder(path, end_id, kept_words), Packer(TaskContext.get().partitionId() << 40, window, tiers)
         id_type = None
 
         def out(rows):
@@ -221,6 +226,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, wi
                 if len(rows) >= 50_000:
                     yield out(rows)
                     rows = []
+            give_back()
         if id_type is not None and (rows := rows + packer.finish()):
             yield out(rows)
 
