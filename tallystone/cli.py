@@ -89,6 +89,15 @@ def baseline(run: Run, ref: str) -> tuple[DataFrame, DataFrame | None]:
         return tree_at(run, Git(run.roots[0]), ref)
 
 
+def _without_submodules(run: Run, *frames: DataFrame) -> list[DataFrame]:
+    """Statistics without what lies in submodules, which old trees do not hold."""
+    try:
+        inside = Git(run.roots[0]).submodules()
+    except (RuntimeError, OSError):
+        inside = []
+    return [filters.without_submodules(f, inside) for f in frames]
+
+
 def tree_at(run: Run, git: Git, ref: str) -> tuple[DataFrame, DataFrame]:
     """Statistics of an old tree, collected while its worktree is there: one row a file."""
     with git.tree(ref) as folder:
@@ -127,7 +136,8 @@ def cmd_health(run: Run) -> tuple[Report, int]:
     report = health_report(run, files, a.regions, run.top("health"))
     if run.s.get("baseline"):
         old, old_regions = baseline(run, run.s["baseline"])
-        found = regression.compare(old, files, run.version, old_regions, a.regions, run.duplication)
+        old, here = _without_submodules(run, old, files)
+        found = regression.compare(old, here, run.version, old_regions, a.regions, run.duplication)
         more = collected("diff", {"project": found["project"], "regressed": found["regressed"], "languages": found["languages"]}, baseline=run.s["baseline"])
         report.tables["regressed"], report.values["baseline"], report.values["regression"] = more.rows("regressed"), run.s["baseline"], more.one("project")
         moved = more.one("project") if run.s.get("fail_on_regression") else None
@@ -174,6 +184,7 @@ def cmd_diff(run: Run) -> tuple[Report, int]:
     git = Git(".")
     before_ref, after_ref = parse_refs(run.s["from"], run.s.get("to"), git)
     (before, b_regions), (after, a_regions) = tree_at(run, git, before_ref), tree_at(run, git, after_ref)
+    before, after = _without_submodules(run, before, after)
     found = regression.compare(before, after, run.version, b_regions, a_regions, run.duplication)
     frames = {"project": found["project"], "regressed": found["regressed"], "languages": trend.language_trend(before, after), "deltas": trend.deltas(aggregate.summary(before), aggregate.summary(after))}
     report = collected("diff", frames, baseline=before_ref, current=after_ref, model=f"v{run.version}")

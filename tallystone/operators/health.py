@@ -206,6 +206,14 @@ def directories_v2(scored: DataFrame) -> DataFrame:
     return group_health(rows.withColumn("directory", F.explode(up)), ["directory"])
 
 
+def _or_empty(project: DataFrame, version: int, model: Model, scored: DataFrame) -> DataFrame:
+    """The project's row, or the row of a report without files."""
+    if not scored.isEmpty():
+        return project
+    none = {"score": 0.0, "grade": "F", "file_count": 0, "code_lines": 0, "coverage": 0.0, "confidence": "low", "assessment": "insufficient-data" if version == 2 else "scored", "tail_score": 0.0, "failing_files": 0, "failing_ratio": 0.0, "worst_score": 0.0, "model": model.name, "scope": "empty"}
+    return project.sparkSession.createDataFrame([tuple(none[c] for c in project.columns)], project.schema)
+
+
 def health_v1(files: DataFrame, duplication: bool = True, top: int | None = None) -> dict[str, DataFrame]:
     """project, files, directories, languages, dimensions and tests under version 1, for distinct paths."""
     model = Model(1, duplication)
@@ -217,7 +225,7 @@ def health_v1(files: DataFrame, duplication: bool = True, top: int | None = None
     by_language = pooled_health(files, ["language"], model).drop("dimensions").join(_group_sums(scored, ["language"]).select("language", "coverage", *_assess(1), *_RISK), "language")
     tested = files.where(paths.is_test_path(F.col("path")))
     return {
-        "project": project.drop("dimensions").crossJoin(extra).withColumns({"model": F.lit(model.name), "scope": F.lit("legacy-all")}),
+        "project": _or_empty(project.drop("dimensions").crossJoin(extra).withColumns({"model": F.lit(model.name), "scope": F.lit("legacy-all")}), 1, model, scored),
         "files": worst(scored, "path", top),
         "directories": worst(pooled_health(files.withColumn("directory", paths.parent(F.col("path"))), ["directory"], model).drop("dimensions"), "directory", top),
         "languages": by_language.orderBy(F.desc("code_lines"), "language"),
@@ -240,7 +248,7 @@ def health_v2(files: DataFrame, regions: DataFrame | None = None, duplication: b
     else:
         scope = "production"
     return {
-        "project": group_health(scored, []).withColumns({"model": F.lit(model.name), "scope": F.lit(scope)}),
+        "project": _or_empty(group_health(scored, []).withColumns({"model": F.lit(model.name), "scope": F.lit(scope)}), 2, model, scored),
         "files": worst(scored, "path", top),
         "directories": worst(directories_v2(scored), "directory", top),
         "languages": group_health(scored, ["language"]).orderBy(F.desc("code_lines"), "language"),

@@ -69,7 +69,9 @@ def test_health_v2_edges(spark):
     only_tests = health.health_v2(stats(spark, TREE[4:]))
     assert one(only_tests["project"])["scope"] == "tests-only"
     nothing = health.health_v2(stats(spark, [file("a.md", 9, 9, 0, 0, 9, 0, 0, 0, 0, "Markdown", flags=(False, False))]))
-    assert nothing["project"].collect() == []
+    empty = one(nothing["project"])
+    assert (empty["score"], empty["grade"], empty["scope"], empty["assessment"], empty["file_count"]) == (0, "F", "empty", "insufficient-data", 0)
+    assert one(health.health_v1(stats(spark, []))["project"])["scope"] == "empty"
     blind = health.health_v2(stats(spark, [file("a.xyz", 9, 9, 0, 0, 9, 0, 0, 0, 0, "X", flags=(False, False))]))
     p = one(blind["project"])
     assert p["assessment"] == "insufficient-data" and abs(p["coverage"] - 0.45) < 1e-9
