@@ -5,14 +5,18 @@
 2. In each of TREES trees a node is the documents whose paths agree so far; a path is a chain of minwise tokens, one
    chosen sketch function a level. Nodes of at most NODE documents compare their sketches exhaustively; larger ones
    branch on their next token. What is still larger at the last level shares DEPTH minwise tokens; it is dealt to blocks
-   of that size, anew in every tree, and compared with its smallest document.
-   A pair of similarity 0.75 whose nodes are small at once is missed with a chance of 0.25**TREES, at the fourth level
-   with 0.68**TREES.
+   of that size, anew in every tree, and compared with its smallest document, which only proposes links early.
+   A pair of similarity 0.75 whose nodes are small at once is missed with a chance of 0.25**TREES, at the third level
+   with 0.58**TREES (5e-5). All documents of larger nodes at that level take part in the exact join of step 4.
 3. Sketches only propose: the full sets of the proposed documents are made again and each pair is confirmed on them.
    The first round proposes what should connect the documents of a node: pairs with the first one that is clearly
    similar, and each document's best others. The second goes through all nodes again with every pair that sketches
    allow and that the links found so far do not connect, and confirms them inside the node, so none is left out.
-4. Connected components of the confirmed links.
+4. The exact join, before the second round: similar sets share a shingle among the 25 percent that each set has first,
+   common shingles coming last. The documents of each such shingle become a node of the second round, less those that even
+   all shingles from that one on could not link with the shortest one there. A list of over NODE documents is dealt to
+   pairs of blocks, so that all its pairs of different components meet.
+5. Connected components of the confirmed links.
 
 Defined cases: words are runs of other than ASCII white space, A-Z lower-cased; a text of under five words is one shingle; a
 null text or one without words has an empty set, no links and itself as component; repeated rows are copies and each
@@ -35,6 +39,9 @@ SHINGLE, PERCENT = 5, 75
 HASHES, TREES, DEPTH, NODE = 256, 18, 8, 1024
 #: Sketches must agree this far for a pair to be proposed (4.4 standard errors below 0.75), and this far to be clearly similar.
 PROPOSE, CLEAR, BEST = 0.63, 0.85, 1
+#: The level (from 0) whose larger nodes are joined exactly; shingles of more documents than COMMON come last in the order, the
+#: most frequent COMMON_TOKENS at most. Any order gives the same links.
+EXACT, COMMON, COMMON_TOKENS = 2, 16, 1_000_000
 #: Ids or small rows that may be broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
 #: Rows with full sets in an Arrow batch; pairs of rows that are compared at once.
@@ -208,19 +215,49 @@ def _shingle_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sets[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "shingles"])
 
 
+def _token_counts(batches):
+    for batch, texts in chunks(batches, 1):
+        hashes, at = Words(texts).shingles(SHINGLE)
+        token, n = np.unique(_distinct(hashes, at)[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
+
+
+def _prefixes(sent):
+    """A function of Arrow batches (id, text): the first shingles of each set and how many the set has from each on.
+
+    sent: the broadcast sorted hashes of common shingles, which come last.
+    """
+
+    def run(batches):
+        common = sent.value
+        for batch, texts in chunks(batches, 1):
+            hashes, at = Words(texts).shingles(SHINGLE)
+            sets, at = _distinct(hashes, at)
+            n = np.diff(at)
+            text = np.repeat(np.arange(len(n)), n)
+            often = common[np.minimum(np.searchsorted(common, sets), len(common) - 1)] == sets if len(common) else np.zeros(len(sets), bool)
+            order = np.argsort(text * 2 + often, kind="stable")
+            place = np.arange(len(sets)) - np.repeat(at[:-1], n)
+            first = place < np.repeat(n + PERCENT * -n // 100 + 1, n)
+            ids = batch.column(0).take(pa.array(text[first]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n[text[first]]), pa.array(sets[order][first].view(np.int64)), pa.array((n[text] - place)[first])], names=["id", "n", "token", "rest"])
+
+    return run
+
+
 def _confirmed(batches):
     for batch in batches:
         keep = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def nodes_and_stars(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(key, id) of the nodes to compare, and pairs (a, b) with pivots of what is still large at the last level.
+def nodes_and_stars(reps: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(key, id) of the nodes to compare, pairs (a, b) with pivots of what is still large at the last level, and ids to join exactly.
 
     reps: id, marks (the low byte of each sketch value, which chains of tokens are made of), roots.
     """
     frontier = reps.select("id", F.posexplode("roots").alias("tree", "key"))
-    members, star = [], None
+    members, star, exact = [], None, None
     for level in range(DEPTH):
         nodes = frontier.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("mark")).where("size > 1")
         nodes = materialize(nodes, "nodes")
@@ -232,6 +269,8 @@ def nodes_and_stars(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if not n_large:
             break
         inside = frontier.join(hint(nodes.where(F.col("size") > NODE).select("key", "size"), n_large), "key")
+        if level == EXACT:
+            exact = materialize(inside.select("id").distinct(), "exact")
         if level + 1 < DEPTH:
             token = F.array(*(F.lit(int(f + 1)) for f in CHOSEN[:, level + 1]))
             step = F.xxhash64("key", F.substring("marks", F.element_at(token, F.col("tree") + 1), F.lit(1)))
@@ -247,7 +286,7 @@ def nodes_and_stars(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     together = members[0]
     for m in members[1:]:
         together = together.unionByName(m)
-    return materialize(together, "members"), star
+    return materialize(together, "members"), star, exact
 
 
 def full_sets(ids: DataFrame, own: DataFrame) -> DataFrame:
@@ -263,11 +302,50 @@ def confirm(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return materialize(both.select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long"), "confirmed")
 
 
+def exact_nodes(ids: DataFrame, own: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id) of nodes in which all similar pairs of ids meet that found (node, component) does not connect."""
+    texts = own.join(broadcast_within(ids, MAX_BROADCAST_ROWS), "id", "left_semi")
+    counts = texts.mapInArrow(_token_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON)
+    counts = materialize(counts, "token-counts")
+    least, taken = None, 0
+    for n, tokens in sorted((tuple(r) for r in counts.groupBy("n").count().collect()), reverse=True):
+        taken += tokens
+        if taken > COMMON_TOKENS:
+            break
+        least = n
+    common = np.sort(counts.where(F.col("n") >= F.lit(least)).select("token").toArrow()["token"].to_numpy().view(np.uint64))
+    sent = ids.sparkSession.sparkContext.broadcast(common)
+    prefixes = materialize(texts.mapInArrow(_prefixes(sent), "id long, n long, token long, rest long"), "prefixes")
+    placed = prefixes.join(broadcast_within(found.withColumnRenamed("node", "id"), MAX_BROADCAST_ROWS), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = materialize(placed, "placed")
+    apart = lambda df, *more: df.groupBy("token").agg(*more, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").drop("low", "high")
+    lists = materialize(apart(placed, F.min("n").alias("shortest")), "lists")
+    able = placed.join(broadcast_within(lists, MAX_BROADCAST_ROWS), "token").where((100 + PERCENT) * F.col("rest") >= PERCENT * (F.col("n") + F.col("shortest")))
+    able = materialize(able.select("token", "id", "component"), "able")
+    # lists of the same documents are compared once; an id may have several rows, so hashes are summed
+    marks = [F.sum(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 31))).alias(f"mark{k}") for k in (1, 2)]
+    lists = materialize(apart(able, F.count("*").alias("size"), *marks).groupBy("size", "mark1", "mark2").agg(F.min("token").alias("token")), "lists").select("token", "size")
+    small, large = lists.where(F.col("size") <= NODE), lists.where(F.col("size") > NODE)
+    nodes = able.join(broadcast_within(small, MAX_BROADCAST_ROWS), "token").select(F.xxhash64("token", F.lit("list")).alias("key"), "id")
+    if large.isEmpty():
+        return materialize(nodes, "exact-nodes")
+    inside = materialize(able.join(broadcast_within(large, MAX_BROADCAST_ROWS), "token"), "long-lists")
+    by = inside.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", "count").alias("most"), (F.sum("count") - F.max("count")).alias("others"))
+    inside = inside.join(broadcast_within(materialize(by, "most"), MAX_BROADCAST_ROWS), "token")
+    # each document outside the largest component meets every document of the list
+    blocks, parts = F.ceil(F.col("size") * 2 / NODE), F.ceil(F.col("others") * 2 / NODE)
+    every = inside.select("token", "id", F.pmod(F.xxhash64("id"), blocks).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    others = inside.where("component <> most").select("token", "id", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(3)), parts).alias("part"))
+    pairs = every.unionByName(others).select(F.xxhash64("token", "block", "part").alias("key"), "id")
+    return materialize(nodes.unionByName(pairs.distinct()), "exact-nodes")
+
+
 def similar(reps: DataFrame, own: DataFrame) -> DataFrame:
     """(node, component) of all similar documents among reps (id, n, marks, roots)."""
     spark = reps.sparkSession
-    together, star = nodes_and_stars(reps)
-    rows = materialize(together.join(reps.select("id", "n", "marks"), "id").select("key", "id", "n", "marks"), "node-rows")
+    together, star, exact = nodes_and_stars(reps)
+    with_marks = lambda df: df.join(reps.select("id", "n", "marks"), "id").select("key", "id", "n", "marks")
+    rows = materialize(with_marks(together), "node-rows")
     arranged = lambda df: df.repartition("key").sortWithinPartitions("key", "id")
     near = arranged(rows).mapInArrow(_by_node(_first_round), "a long, b long")
     first = materialize((near if star is None else near.unionByName(star)).distinct(), "pairs")
@@ -275,6 +353,8 @@ def similar(reps: DataFrame, own: DataFrame) -> DataFrame:
         links = confirm(first, own)
     found = materialize(components(links), "components")
     schema = "key long, id long, n long, marks binary, component long"
+    if exact is not None:
+        rows = rows.unionByName(with_marks(exact_nodes(exact, own, found)))
     labelled = rows.join(broadcast_within(found.withColumnRenamed("node", "id"), MAX_BROADCAST_ROWS), "id", "left").select("key", "id", "n", "marks", F.coalesce("component", "id").alias("component"))
     apart = materialize(arranged(labelled).mapInArrow(_by_node(_apart), schema), "apart")
     if apart.isEmpty():

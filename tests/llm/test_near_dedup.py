@@ -74,6 +74,21 @@ def test_large_family_and_shared_passage(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
 
 
+def test_lone_pairs_among_texts_with_one_long_passage(spark, monkeypatch):
+    """Texts of 80-85 percent one passage, not similar to each other, with pairs of similarity just over 0.75 among them."""
+    monkeypatch.setattr(N, "NODE", 8)
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(164)]  # 160 shingles
+    own = lambda n: [f"y{rng.randrange(10**9)}" for _ in range(n)]
+    rows = [(i, " ".join(passage + own(rng.randint(30, 38)))) for i in range(160)]
+    for i in range(160, 190, 2):  # 160 + 10 shingles of 160 + 10 + 2 * 26 in common
+        both = own(10)
+        rows += [(i, " ".join(passage + both + own(26))), (i + 1, " ".join(passage + both + own(26)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sum(i != c for i, c in brute(rows).items()) == 15
+    check(df)
+
+
 def test_threshold_is_exact(spark):
     """75 of 100 shingles in common is a link, 74 of 100 is none."""
     words = [f"w{i}" for i in range(91)]  # 87 shingles
