@@ -35,7 +35,7 @@ ROUND_TOKENS, KEPT_WORDS = 1 << 20, 350_000
 DOCS = 512
 #: White space to Python but not to the tokenizer, or the other way round: such texts are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85]")
-#: Texts without these have the same ids in lower case, which the tokenizer makes anyway.
+#: Texts without these have the same ids in lower case, which the tokenizer makes anyway; only added tokens match raw text.
 _WIDE = re.compile("[\u0130\u0250-\U0010ffff]")
 
 
@@ -62,6 +62,8 @@ class Encoder:
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.lowers = "Lowercase" in kinds
+        added = {x["content"].lower() for x in spec.get("added_tokens") or [] if x["content"]}
+        self.added = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
         # letters can go to the model as they are where the steps before it are known to leave a run of them alone
         self.plain = kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _LETTER_RUNS} and not steps[1]["add_prefix_space"]
         self.bytes, self.pieces = _byte_letters(), self.model.model.tokenize
@@ -99,7 +101,12 @@ class Encoder:
     def _words(self, text: str) -> list[str] | None:
         if _ODD.search(text):
             return None
-        return (text.lower() if self.lowers and not _WIDE.search(text) else text).split()
+        if not self.lowers or _WIDE.search(text):
+            return text.split()
+        lower = text.lower()
+        if self.added and self.added.search(lower):  # words with an added token stand as they are
+            return [w if self.added.search(low) else low for w in text.split() for low in [w.lower()]]
+        return lower.split()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end token."""

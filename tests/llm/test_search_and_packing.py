@@ -102,6 +102,11 @@ def test_packer_balances_and_fills():
     assert all(len(g) <= 4 for g in groups.values())
 
 
+def test_added_tokens_match_raw_text_only():
+    texts = ["<|ENDOFTEXT|>", "<|EndOfText|> Some Words<|endoftext|>X <|StartOfText|>, <|startoftext|>", "Plain WORDS here<|endOfText|>"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.Encoder(PATH)(texts)] == [ids(t) for t in texts]
+
+
 def test_small_cache_gives_the_same_ids():
     texts = [f"word{i} Other{i}, été{i}!" for i in range(300)] * 2
     small, large = packing.Encoder(PATH, kept_words=50), packing.Encoder(PATH)
