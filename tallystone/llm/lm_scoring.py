@@ -2,11 +2,12 @@
 
 Two bigram models of the same form are counted, one from the target texts and one from all texts: same order,
 smoothing and vocabulary. The vocabulary is the words (runs of other than ASCII white space, A-Z lower-cased) that occur at least
-MIN_COUNT times in all texts, by hash in UNIGRAMS slots; all other words are one unknown word. Bigram counts are kept by hash in
-BIGRAMS slots. Both sizes are fixed, so a model takes the same memory at every size of input; what is gathered is a row
-for each slot and task, summed by slot. A word's probability is
+MIN_COUNT times in all texts; all other words are one unknown word. Words are known by 64-bit hashes and bigrams by those of
+both words, and each has a count of its own, so the tables grow with the input. A table holds each row's distinct bigrams;
+words and bigrams are counted from it by shuffled sums, each bigram's losses are joined from the counts, and each row's
+bigrams are joined with their losses. Nothing but totals reaches the driver. A word's probability is
 
-    p(w | v) = L * count(v w) / count(v) + (1 - L) * (count(w) + A) / (tokens + A * slots in use)
+    p(w | v) = L * count(v w) / count(v) + (1 - L) * (count(w) + A) / (tokens + A * size of the vocabulary)
 
 and a document's losses are the means of -log2 p over its words and an end mark, under each model. The score is the mean of the
 per-token differences, target loss less background loss: the lower, the more a document is like the target.
@@ -24,96 +25,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallystone.llm.arrow_text import Words, chunks, mixed
+from tallystone.llm.arrow_text import Words, chunks
 from tallystone.llm.common import broadcast_within, materialize
 
-UNIGRAMS, BIGRAMS, MIN_COUNT, WEIGHT, ADD = 1 << 18, 1 << 20, 2, 0.7, 0.1
+MIN_COUNT, WEIGHT, ADD = 2, 0.7, 0.1
 MAX_BROADCAST_ROWS = 2_000_000
 _END = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes with an end mark after each text, hashes of each with the one before, where each text's begin)."""
+def bigrams(texts) -> tuple[np.ndarray, ...]:
+    """(text number, hash of the word before, hash of the word, count) of the distinct bigrams of each text and its end mark."""
     words = Words(texts)
     every = np.arange(len(words.starts))
-    own = words.hashes(every, every)
     at = words.first + np.arange(len(words.first))
     out = np.full(at[-1], _END, np.uint64)
-    out[every + np.repeat(np.arange(len(texts)), words.counts)] = own
+    out[every + np.repeat(np.arange(len(texts)), words.counts)] = words.hashes(every, every)
     before = np.concatenate([[_END], out[:-1]]) if len(out) else out  # a text's first word follows the end mark of another
-    return out, mixed(before * np.uint64(3) + out), at
-
-
-def slots(texts):
-    word, pair, at = tokens(texts)
-    return (word % np.uint64(UNIGRAMS)).astype(np.int64), (pair % np.uint64(BIGRAMS)).astype(np.int64), at
-
-
-def count_slots(docs: DataFrame) -> DataFrame:
-    """(slot, target, everything) of docs (text, target): unigram slots from 0, bigram slots from UNIGRAMS."""
-
-    def run(batches):
-        total = np.zeros((2, UNIGRAMS + BIGRAMS), np.int64)
-        for batch, texts in chunks(batches, 0):
-            uni, bi, at = slots(texts)
-            of_target = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
-            for row, keep in ((0, of_target), (1, slice(None))):
-                total[row, :UNIGRAMS] += np.bincount(uni[keep], minlength=UNIGRAMS)
-                total[row, UNIGRAMS:] += np.bincount(bi[keep], minlength=BIGRAMS)
-        used = np.flatnonzero(total[1])
-        for k in range(0, len(used), 1 << 16):
-            part = used[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[0, part]), pa.array(total[1, part])], names=["slot", "target", "everything"])
-
-    counted = docs.mapInArrow(run, "slot long, target long, everything long")
-    return counted.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("everything").alias("everything"))
-
-
-class Models:
-    """Both models over one vocabulary."""
-
-    def __init__(self, counts: np.ndarray, min_count: int = MIN_COUNT):
-        """counts: (2, UNIGRAMS + BIGRAMS), target first."""
-        self.known = counts[1, :UNIGRAMS] >= min_count
-        self.vocabulary = int(self.known.sum()) + 1
-        self.uni, self.bi = counts[:, :UNIGRAMS].astype(float), counts[:, UNIGRAMS:].astype(float)
-        self.unknown = self.uni[:, ~self.known].sum(axis=1)
-        self.total = self.uni.sum(axis=1)
-
-    def losses(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens of each text, mean losses (2, texts) in bits)."""
-        uni, bi, at = slots(texts)
-        before = np.concatenate([uni[-1:], uni[:-1]])
-        end = int(_END % np.uint64(UNIGRAMS))
-        before[:1] = end
-        known, out = self.known[uni], []
-        for m in (0, 1):
-            single = (np.where(known, self.uni[m, uni], self.unknown[m]) + ADD) / (self.total[m] + ADD * self.vocabulary)
-            history = self.uni[m, before]
-            paired = np.where(history > 0, np.minimum(self.bi[m, bi] / np.maximum(history, 1), 1.0), single)
-            loss = -np.log2(WEIGHT * paired + (1 - WEIGHT) * single)
-            out.append(np.add.reduceat(loss, at[:-1]) / np.diff(at))
-        return np.diff(at), np.stack(out)
+    text = np.repeat(np.arange(len(texts)), np.diff(at))
+    order = np.lexsort((out, before, text))
+    text, before, out = text[order], before[order], out[order]
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (before[1:] != before[:-1]) | (out[1:] != out[:-1])])[: len(out)]
+    first = np.flatnonzero(new)
+    return text[first], before[first], out[first], np.diff(np.append(first, len(out)))
+
+
+def _rows(batches):
+    """(row, id, target, v, w, n) of batches of (id, text, target); row numbers are unique."""
+    from pyspark import TaskContext
+
+    row = TaskContext.get().partitionId() << 40
+    for batch, texts in chunks(batches, 1):
+        text, before, word, n = bigrams(texts)
+        at = pa.array(text)
+        yield pa.RecordBatch.from_arrays([pa.array(text + row), batch.column(0).take(at), batch.column(2).take(at), pa.array(before.view(np.int64)), pa.array(word.view(np.int64)), pa.array(n)], names=["row", "id", "target", "v", "w", "n"])
+        row += len(texts)
+
+
+def _counts(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("near"), F.sum("n").alias("far"))
+
+
+def losses(rows: DataFrame) -> DataFrame:
+    """(v, w, near, far): the losses in bits of each bigram under the target and the background model."""
+    words = materialize(_counts(rows, "w"), "words")
+    known = F.col("far") >= MIN_COUNT
+    sums = [F.sum(x) for x in ("near", "far")] + [F.sum(F.when(~known, F.col(x))) for x in ("near", "far")]
+    total_near, total_far, rare_near, rare_far, n_known = (x or 0 for x in words.agg(*sums, F.count_if(known)).first())
+    of = lambda key: broadcast_within(words.select(F.col("w").alias(key), F.col("near").alias(f"near_{key}"), F.col("far").alias(f"far_{key}")), MAX_BROADCAST_ROWS)
+    pairs = materialize(_counts(rows, "v", "w"), "bigrams").join(of("w"), "w").join(of("v"), "v")
+
+    def loss(m, total, rare):
+        single = (F.when(F.col("far_w") >= MIN_COUNT, F.col(f"{m}_w")).otherwise(F.lit(rare)) + ADD) / F.lit(total + ADD * (n_known + 1))
+        paired = F.when(F.col(f"{m}_v") > 0, F.col(m) / F.greatest(f"{m}_v", F.lit(1))).otherwise(single)
+        return (-F.log2(WEIGHT * paired + (1 - WEIGHT) * single)).alias(m)
+
+    return materialize(pairs.select("v", "w", loss("near", total_near, rare_near), loss("far", total_far, rare_far)), "losses")
 
 
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, target_loss, background_loss and score of every row of docs. target: ids of the target texts."""
     ids = materialize(target.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_target", F.lit(True)), "target-ids")
     marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(broadcast_within(ids, MAX_BROADCAST_ROWS), "_id", "left")
-    rows = count_slots(marked.select("text", F.coalesce("_target", F.lit(False)).alias("target"))).toArrow()  # a row a slot at most
-    counts = np.zeros((2, UNIGRAMS + BIGRAMS), np.int64)
-    counts[:, rows["slot"].to_numpy()] = rows["target"].to_numpy(), rows["everything"].to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
-    names = ["n_tokens", "target_loss", "background_loss", "score"]
-    schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), *(T.StructField(x, T.DoubleType()) for x in names[1:])])
-
-    def run(batches):
-        models = Models(sent.value)
-        for batch, texts in chunks(batches, 1):
-            n, (near, far) = models.losses(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(near), pa.array(far), pa.array(near - far)], names=[id_col, *names])
-
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    marked = marked.select("_id", "text", F.coalesce("_target", F.lit(False)).alias("target"))
+    kinds = {"row": T.LongType(), "id": docs.schema[id_col].dataType, "target": T.BooleanType(), "v": T.LongType(), "w": T.LongType(), "n": T.LongType()}
+    rows = materialize(marked.mapInArrow(_rows, T.StructType([T.StructField(x, k) for x, k in kinds.items()])), "row-bigrams")
+    mean = lambda x: F.sum(F.col("n") * F.col(x)) / F.sum("n")
+    found = rows.join(losses(rows), ["v", "w"]).groupBy("row").agg(F.first("id").alias(id_col), F.sum("n").alias("n_tokens"), mean("near").alias("target_loss"), mean("far").alias("background_loss"))
+    return found.select(id_col, "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
 
 
 def good_labels(labels: DataFrame) -> DataFrame:

@@ -115,6 +115,18 @@ def test_lm_scores_against_dictionaries(spark, no_docs):
     assert len(lm_scoring.score(docs, labels.limit(0)).collect()) == len(rows)
 
 
+def test_lm_counts_each_of_many_words_apart(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"v{rng.randrange(60_000)}" for _ in range(500))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    target = set(range(0, 120, 3))
+    want = brute_losses(rows, target)
+    got = lm_scoring.score(docs, spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert np.allclose((r.n_tokens, r.target_loss, r.background_loss), want[r.doc_id], rtol=1e-9)
+
+
 def test_lm_prefers_target_texts(spark):
     rows = [(i, "alpha beta gamma delta " * 5) for i in range(10)] + [(i, "one two three four " * 5) for i in range(10, 20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
