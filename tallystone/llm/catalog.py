@@ -27,4 +27,5 @@ def oracle_sql():
         "op3_chat_format": chat_format.ORACLE,
         "op4_topk": topk.ORACLE,
         "op5_url_filters": url_filters.ORACLE,
+        "op6_lm_scoring": lm_scoring.ORACLE,
     }

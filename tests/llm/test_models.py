@@ -75,27 +75,26 @@ def test_line_features_do_not_depend_on_the_chunk():
 
 
 def brute_losses(rows, target):
-    """Losses of each text from dictionaries of words, where no two words share a slot."""
+    """Losses of each text from dictionaries of words; None is the end mark and "" the unknown word."""
     known = {i: (t or "").encode().lower().split() for i, t in rows}
-    out = {}
+    often = {w for w, n in Counter(w for ws in known.values() for w in ws).items() if n >= lm_scoring.MIN_COUNT}
+    chains = {i: [None, *(w if w in often else "" for w in ws), None] for i, ws in known.items()}
     counts = []
     for keep in (lambda i: i in target, lambda i: True):
         uni, bi = Counter(), Counter()
-        for i, w in known.items():
+        for i, chain in chains.items():
             if keep(i):
-                chain = [None, *w, None]
                 uni.update(chain[1:])
                 bi.update(zip(chain, chain[1:], strict=False))
         counts.append((uni, bi))
-    vocabulary = {w for w, n in counts[1][0].items() if n >= lm_scoring.MIN_COUNT}
-    for i, w in known.items():
-        chain, losses = [None, *w, None], []
+    out = {}
+    for i, chain in chains.items():
+        losses = []
         for uni, bi in counts:
-            total, unknown = sum(uni.values()), sum(n for x, n in uni.items() if x not in vocabulary)
-            loss = 0.0
+            total, loss = sum(uni.values()), 0.0
             for v, x in zip(chain, chain[1:], strict=False):
-                single = ((uni[x] if x in vocabulary else unknown) + lm_scoring.ADD) / (total + lm_scoring.ADD * (len(vocabulary) + 1))
-                paired = min(bi[v, x] / uni[v], 1.0) if uni[v] else single
+                single = (uni[x] + lm_scoring.ADD) / (total + lm_scoring.ADD * (len(often) + 2))
+                paired = bi[v, x] / uni[v] if uni[v] else single
                 loss -= np.log2(lm_scoring.WEIGHT * paired + (1 - lm_scoring.WEIGHT) * single)
             losses.append(loss / (len(chain) - 1))
         out[i] = (len(chain) - 1, *losses)
@@ -115,7 +114,8 @@ def test_lm_scores_against_dictionaries(spark, no_docs):
     assert len(lm_scoring.score(docs, labels.limit(0)).collect()) == len(rows)
 
 
-def test_lm_counts_each_of_many_words_apart(spark):
+def test_lm_counts_each_of_many_words_apart(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", 40_000)  # many parts and ranges
     rng = random.Random(7)
     rows = [(i, " ".join(f"v{rng.randrange(60_000)}" for _ in range(500))) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -127,6 +127,15 @@ def test_lm_counts_each_of_many_words_apart(spark):
         assert np.allclose((r.n_tokens, r.target_loss, r.background_loss), want[r.doc_id], rtol=1e-9)
 
 
+def test_lm_packs_numbers_and_keys():
+    for x in ([], [0, 255], [256, 3], [1 << 40, 0]):
+        assert lm_scoring._unpacked(lm_scoring._packed(np.array(x, np.int64))).tolist() == x
+    keys = np.array([0, 5, 1 << 63, (1 << 64) - 1], np.uint64)
+    assert lm_scoring._unpacked_keys(lm_scoring._packed_keys(keys)).tolist() == keys.tolist()
+    cut = lm_scoring._slices(7, keys, np.arange(4), np.arange(4), 3)
+    assert cut["bucket"] == [0, 1, 2] and [len(lm_scoring._unpacked_keys(k)) for k in cut["keys"]] == [2, 1, 1]
+
+
 def test_lm_prefers_target_texts(spark):
     rows = [(i, "alpha beta gamma delta " * 5) for i in range(10)] + [(i, "one two three four " * 5) for i in range(10, 20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
