@@ -47,23 +47,36 @@ _SLICES = "bucket long, part long, keys binary, near binary, far binary"
 _REPLIES = "bucket long, part long, near binary, far binary, sums array<long>"
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers as bytes, the first bytes of all, then the second ones and so on, compressed if that pays."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    small = pa.compress(raw, codec="zstd", asbytes=True) if len(raw) > 256 else raw
+    return bytes([x.itemsize]) + (len(x).to_bytes(8, "little") + small if len(small) < len(raw) else bytes(8) + raw)
+
+
+def _opened(data: bytes) -> np.ndarray:
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    raw = pa.decompress(data[9:], n * width, codec="zstd", asbytes=True) if n else data[9:]
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
+
+
 def _packed(x: np.ndarray) -> bytes:
-    """Numbers from 0 in the narrowest width that holds them all, which the first byte tells."""
+    """Numbers from 0 in the narrowest width that holds them all."""
     width = next(w for w in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << (8 * w))
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    return _squeezed(x.astype(f"<u{width}"))
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    return _opened(data).astype(np.int64)
 
 
 def _packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte by byte of all, so that their zero bytes compress away."""
-    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted hashes as differences, whose highest bytes are zero."""
+    return _squeezed(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))
 
 
 def _unpacked_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_opened(data), dtype=np.uint64)
 
 
 def _slices(part: int, keys: np.ndarray, near: np.ndarray, far: np.ndarray, buckets: int) -> dict[str, list]:
