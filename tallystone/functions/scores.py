@@ -48,7 +48,7 @@ class Model:
         self.weights = {d: table[d][0] for d in DIMENSIONS if duplication or d != "duplication"}
         self.curves = {d: table[d][1] for d in self.weights}
 
-    def score(self, dimension: str, metric: Column) -> Column:
+    def score(self, dimension: str, metric: Column | str) -> Column:
         return curve(metric, self.curves[dimension])
 
 
@@ -56,15 +56,24 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
-def curve(x: Column, points: list[tuple[float, float]]) -> Column:
-    """Piecewise linear between the points, flat outside; 1 for values that are no number, 50 without points."""
+def curve(x: Column | str, points: list[tuple[float, float]]) -> Column:
+    """Piecewise linear between the points, flat outside; 1 for values that are no number, 50 without points.
+
+    x: a column or its name. The SQL text is one call to the JVM instead of several a point.
+    """
     if not points:
         return F.lit(50.0)
-    x = x.cast("double")
-    out = F.when(~finite(x), 1.0).when(x <= float(points[0][0]), float(points[0][1]))
+    if not isinstance(x, str):
+        x = x.cast("double")
+        out = F.when(~finite(x), 1.0).when(x <= float(points[0][0]), float(points[0][1]))
+        for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False):
+            out = out.when(x <= float(x1), float(y0) + (x - float(x0)) / float(x1 - x0) * float(y1 - y0))
+        return out.otherwise(float(points[-1][1]))
+    v = f"CAST({x} AS DOUBLE)"
+    parts = [f"WHEN {v} IS NULL OR isnan({v}) OR abs({v}) = double('infinity') THEN 1D", f"WHEN {v} <= {float(points[0][0])}D THEN {float(points[0][1])}D"]
     for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False):
-        out = out.when(x <= float(x1), float(y0) + (x - float(x0)) / float(x1 - x0) * float(y1 - y0))
-    return out.otherwise(float(points[-1][1]))
+        parts.append(f"WHEN {v} <= {float(x1)}D THEN {float(y0)}D + ({v} - {float(x0)}D) / {float(x1 - x0)!r}D * {float(y1 - y0)}D")
+    return F.expr(f"CASE {' '.join(parts)} ELSE {float(points[-1][1])}D END")
 
 
 def grade(score: Column) -> Column:

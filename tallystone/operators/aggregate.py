@@ -134,6 +134,6 @@ def plain_file_stats(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def first_by_path(files: DataFrame, order: Column | None = None) -> DataFrame:
-    """The first row of each path, leading './' aside."""
-    w = Window.partitionBy("_path").orderBy(order if order is not None else F.col("path"))
+    """The first row of each path, leading './' aside, by the path as written unless another order is given."""
+    w = Window.partitionBy("_path").orderBy(F.col("path") if order is None else order)
     return files.withColumn("_path", paths.relative(F.col("path"))).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_path", "_n")

@@ -6,6 +6,7 @@ were not measured, and combines files by the square root of their code with a te
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions import paths, scores
 from tallystone.functions.scores import Model
+from tallystone.operators.aggregate import first_by_path
 
 # Languages without program code, in lower case.
 NON_CODE = ["html", "css", "scss", "sass", "less", "json", "yaml", "toml", "xml", "ini", "csv", "markdown", "restructuredtext", "asciidoc", "latex"]
@@ -20,6 +22,24 @@ TAIL, FAILING, ENOUGH, CODE_UNIT = 0.10, 60.0, 0.60, 50
 _BINS = 10  # of the score's points, for the weighted tail
 
 
+class Reports(Mapping):
+    """DataFrames by name, each planned when it is asked for, once."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def _add(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
@@ -50,7 +70,13 @@ def pooled_metrics(files: DataFrame, keys: list[str], legacy: bool = True) -> Da
     )
 
 
-def _dimension_scores(metrics: dict[str, Column], model: Model) -> Column:
+def _staged(files: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame, dict[str, str]]:
+    """files with a column for each metric, and the names of these columns."""
+    names = {d: f"_metric_{d}" for d in metrics}
+    return files.withColumns({names[d]: m for d, m in metrics.items()}), names
+
+
+def _dimension_scores(metrics: dict[str, str], model: Model) -> Column:
     total = sum(model.weights.values())
     each = [F.struct(F.lit(d).alias("dimension"), model.score(d, metrics[d]).alias("score"), F.lit(w / total).alias("weight")) for d, w in model.weights.items()]
     return F.transform(F.array(*each), lambda x: x.withField("grade", scores.grade(x["score"])))
@@ -82,7 +108,8 @@ def center_weight() -> Column:
 
 def score_files_v1(files: DataFrame, model: Model) -> DataFrame:
     """files with dimensions, score, grade, top_issue (first of the lowest), coverage and weight."""
-    out = files.withColumn("dimensions", _dimension_scores(file_metrics(True), model)).withColumn("score", _total(F.col("dimensions")))
+    rows, names = _staged(files, file_metrics(True))
+    out = rows.withColumn("dimensions", _dimension_scores(names, model)).drop(*names.values()).withColumn("score", _total(F.col("dimensions")))
     lowest = F.array_min(F.transform("dimensions", lambda d, i: F.struct(d["score"], i, d["dimension"].alias("dimension"))))
     return out.select("*", scores.grade(F.col("score")).alias("grade"), lowest["dimension"].alias("top_issue"), coverage(model).alias("coverage"), center_weight().alias("weight"))
 
@@ -93,8 +120,9 @@ def score_files_v2(files: DataFrame, model: Model) -> DataFrame:
     branches = F.greatest(F.col("complexity.cyclomatic") - F.col("complexity.functions"), F.lit(0))
     units = F.greatest(F.col("complexity.functions"), F.ceil(F.col("lines.code") / CODE_UNIT), F.lit(1))
     metrics["complexity"] = 1.0 + branches / units
-    each = [F.when(measured(d), F.struct(F.lit(d).alias("dimension"), scores.clamp(model.score(d, metrics[d]), 0, 100).alias("score"), F.lit(w).alias("weight"))) for d, w in model.weights.items()]
-    out = files.withColumn("dimensions", F.filter(F.array(*each), lambda d: d.isNotNull()))
+    rows, names = _staged(files, metrics)
+    each = [F.when(measured(d), F.struct(F.lit(d).alias("dimension"), scores.clamp(model.score(d, names[d]), 0, 100).alias("score"), F.lit(w).alias("weight"))) for d, w in model.weights.items()]
+    out = rows.withColumn("dimensions", F.filter(F.array(*each), lambda d: d.isNotNull())).drop(*names.values())
     out = out.withColumn("score", _total(F.col("dimensions")))
     all_weight = F.aggregate("dimensions", F.lit(0.0), lambda acc, d: acc + d["weight"])
     gain = F.array_max(F.transform("dimensions", lambda d, i: F.struct(((100.0 - d["score"]) * d["weight"]).alias("gain"), i, d["dimension"].alias("dimension"))))
@@ -163,7 +191,7 @@ def group_dimensions(scored: DataFrame, keys: list[str], model: Model) -> DataFr
 def pooled_health(files: DataFrame, keys: list[str], model: Model) -> DataFrame:
     """Score, grade, counts and dimensions of groups of files under version 1."""
     pooled = pooled_metrics(files, keys, legacy=True)
-    out = pooled.withColumn("dimensions", _dimension_scores({d: F.col(d) for d in model.weights}, model)).withColumn("score", _total(F.col("dimensions")))
+    out = pooled.withColumn("dimensions", _dimension_scores({d: d for d in model.weights}, model)).withColumn("score", _total(F.col("dimensions")))
     return out.select(*keys, "score", scores.grade(F.col("score")).alias("grade"), "file_count", "code_lines", "dimensions")
 
 
@@ -172,20 +200,22 @@ def worst(rows: DataFrame, path: str, top: int | None) -> DataFrame:
     return out if top is None else out.limit(top)
 
 
-def project_regions(files: DataFrame, regions: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(production, tests) rows of file_stats that version 2 scores: program code, split at inline tests if regions are given.
+def with_regions(files: DataFrame, regions: DataFrame | None) -> DataFrame:
+    """Rows of file_stats that version 2 scores, with region 'production' or 'tests': program code, split at inline tests if
+    regions are given.
 
     regions: path, region ('production' or 'tests'), lines, size, duplicate_lines, complexity.
     """
-    columns = ["path", "language", "lines", "size", "duplicate_lines", "complexity"]
-    code = files.where(~F.lower("language").isin(NON_CODE)).select(*columns)
-    tests, rest = code.where(paths.is_test_path(F.col("path"))), code.where(~paths.is_test_path(F.col("path")))
+    columns = ["lines", "size", "duplicate_lines", "complexity"]
+    code = files.where(~F.lower("language").isin(NON_CODE)).select("path", "language", *columns)
+    is_test = paths.is_test_path(F.col("path"))
+    own = F.when(is_test, "tests").otherwise("production")
     if regions is None:
-        return rest, tests
-    split = rest.select("path", "language").join(regions, "path").where("lines.code > 0")
-    whole = rest.join(regions.select("path").distinct(), "path", "left_anti").select(*columns)
-    part = lambda name: split.where(F.col("region") == name).select(*columns)
-    return whole.unionByName(part("production")), tests.unionByName(part("tests"))
+        return code.withColumn("region", own)
+    parts = regions.select(F.col("path").alias("_path"), F.col("region").alias("_region"), F.struct(*columns).alias("_part"))
+    rows = code.withColumn("_test", is_test).join(parts, ~F.col("_test") & (F.col("path") == F.col("_path")), "left")
+    rows = rows.where(F.col("_region").isNull() | (F.col("_part.lines.code") > 0))
+    return rows.select("path", "language", *(F.coalesce(f"_part.{c}", c).alias(c) for c in columns), F.coalesce("_region", own).alias("region"))
 
 
 def common_parent(files: DataFrame) -> DataFrame:
@@ -206,56 +236,65 @@ def directories_v2(scored: DataFrame) -> DataFrame:
     return group_health(rows.withColumn("directory", F.explode(up)), ["directory"])
 
 
-def _or_empty(project: DataFrame, version: int, model: Model, scored: DataFrame) -> DataFrame:
+def _or_empty(project: DataFrame, version: int, model: Model) -> DataFrame:
     """The project's row, or the row of a report without files."""
-    if not scored.isEmpty():
-        return project
     none = {"score": 0.0, "grade": "F", "file_count": 0, "code_lines": 0, "coverage": 0.0, "confidence": "low", "assessment": "insufficient-data" if version == 2 else "scored", "tail_score": 0.0, "failing_files": 0, "failing_ratio": 0.0, "worst_score": 0.0, "model": model.name, "scope": "empty"}
-    return project.sparkSession.createDataFrame([tuple(none[c] for c in project.columns)], project.schema)
+    one = project.sparkSession.range(1).select()
+    found = F.col("_found").isNotNull()
+    kinds = {c: project.schema[c].dataType for c in project.columns}
+    return one.join(project.withColumn("_found", F.lit(1)), F.lit(True), "left").select(*(F.when(found, F.col(c)).otherwise(F.lit(none[c]).cast(kinds[c])).alias(c) for c in project.columns))
+
 
+def health_v1(files: DataFrame, duplication: bool = True, top: int | None = None) -> Reports:
+    """project, files, directories, languages, dimensions and tests under version 1; each path counts once.
 
-def health_v1(files: DataFrame, duplication: bool = True, top: int | None = None) -> dict[str, DataFrame]:
-    """project, files, directories, languages, dimensions and tests under version 1, for distinct paths."""
+    Nothing runs here; who reads several reports persists the files.
+    """
     model = Model(1, duplication)
-    files = files.persist()  # a row a file, read by every report
-    scored = score_files_v1(files, model).persist()
-    project = pooled_health(files, [], model)
-    sums = _group_sums(scored, [])
-    extra = sums.select("coverage", *_assess(1), *_RISK)
-    by_language = pooled_health(files, ["language"], model).drop("dimensions").join(_group_sums(scored, ["language"]).select("language", "coverage", *_assess(1), *_RISK), "language")
-    tested = files.where(paths.is_test_path(F.col("path")))
-    return {
-        "project": _or_empty(project.drop("dimensions").crossJoin(extra).withColumns({"model": F.lit(model.name), "scope": F.lit("legacy-all")}), 1, model, scored),
-        "files": worst(scored, "path", top),
-        "directories": worst(pooled_health(files.withColumn("directory", paths.parent(F.col("path"))), ["directory"], model).drop("dimensions"), "directory", top),
-        "languages": by_language.orderBy(F.desc("code_lines"), "language"),
-        "dimensions": project.select(F.inline("dimensions")).select("dimension", "score", "weight", "grade"),
-        "tests": pooled_health(tested, [], model).drop("dimensions"),
-    }
+    files = first_by_path(files)
+    extra = lambda keys: _group_sums(score_files_v1(files, model), keys).select(*keys, "coverage", *_assess(1), *_RISK)
 
+    def project() -> DataFrame:
+        pooled = pooled_health(files, [], model).drop("dimensions").crossJoin(extra([]))  # a row each
+        return _or_empty(pooled.withColumns({"model": F.lit(model.name), "scope": F.lit("legacy-all")}), 1, model)
 
-def health_v2(files: DataFrame, regions: DataFrame | None = None, duplication: bool = True, top: int | None = None) -> dict[str, DataFrame]:
-    """project, files, directories, languages, dimensions and tests under version 2, for distinct paths.
+    return Reports({
+        "project": project,
+        "files": lambda: worst(score_files_v1(files, model), "path", top),
+        "directories": lambda: worst(pooled_health(files.withColumn("directory", paths.parent(F.col("path"))), ["directory"], model).drop("dimensions"), "directory", top),
+        "languages": lambda: pooled_health(files, ["language"], model).drop("dimensions").join(extra(["language"]), "language").orderBy(F.desc("code_lines"), "language"),
+        "dimensions": lambda: pooled_health(files, [], model).select(F.inline("dimensions")).select("dimension", "score", "weight", "grade"),
+        "tests": lambda: pooled_health(files.where(paths.is_test_path(F.col("path"))), [], model).drop("dimensions"),
+    })
 
-    Where there is no production code the tests are what is scored, and the scope says so.
-    """
-    model = Model(2, duplication)
-    production, tests = project_regions(files, regions)
-    tested = score_files_v2(tests, model).persist()  # rows of scored files are one a file, and every report reads them
-    scored = score_files_v2(production, model).persist()
-    if scored.isEmpty():
-        scored, scope = tested, "tests-only"
-    else:
-        scope = "production"
-    return {
-        "project": _or_empty(group_health(scored, []).withColumns({"model": F.lit(model.name), "scope": F.lit(scope)}), 2, model, scored),
-        "files": worst(scored, "path", top),
-        "directories": worst(directories_v2(scored), "directory", top),
-        "languages": group_health(scored, ["language"]).orderBy(F.desc("code_lines"), "language"),
-        "dimensions": group_dimensions(scored, [], model),
-        "tests": group_health(tested, []),
-    }
 
+def health_v2(files: DataFrame, regions: DataFrame | None = None, duplication: bool = True, top: int | None = None) -> Reports:
+    """project, files, directories, languages, dimensions and tests under version 2; each path counts once.
 
-def health(files: DataFrame, version: int = 2, regions: DataFrame | None = None, duplication: bool = True, top: int | None = None) -> dict[str, DataFrame]:
+    Where there is no production code the tests are what is scored, and the scope says so. Nothing runs here; who reads
+    several reports persists the files.
+    """
+    model = Model(2, duplication)
+    rows = with_regions(first_by_path(files), regions)
+    every = score_files_v2(rows, model)
+    # what is scored: production code if there is any; one row, for which the counts of duplicate lines are not needed
+    chosen = rows.agg(F.min("region").alias("_chosen"))
+    scored = every.join(F.broadcast(chosen), F.col("region") == F.col("_chosen"))
+
+    def project() -> DataFrame:
+        found = group_health(scored, []).crossJoin(F.broadcast(chosen))  # a row each
+        scope = F.when(F.col("_chosen") == "production", "production").otherwise("tests-only")
+        return _or_empty(found.withColumns({"model": F.lit(model.name), "scope": scope}).drop("_chosen"), 2, model)
+
+    return Reports({
+        "project": project,
+        "files": lambda: worst(scored.drop("region", "_chosen"), "path", top),
+        "directories": lambda: worst(directories_v2(scored), "directory", top),
+        "languages": lambda: group_health(scored, ["language"]).orderBy(F.desc("code_lines"), "language"),
+        "dimensions": lambda: group_dimensions(scored, [], model),
+        "tests": lambda: group_health(every.where("region = 'tests'"), []),
+    })
+
+
+def health(files: DataFrame, version: int = 2, regions: DataFrame | None = None, duplication: bool = True, top: int | None = None) -> Reports:
     return health_v2(files, regions, duplication, top) if version == 2 else health_v1(files, duplication, top)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystone.functions import paths, scores
+from tallystone.sources.work import work_table
 
 ISLAND_OWNERSHIP, DAY = 0.75, 86_400
 MIN_SHARED, MIN_DEGREE, MAX_CHANGESET = 5, 30.0, 30
@@ -137,18 +138,25 @@ def coupling_totals(commit_files: DataFrame, commits: DataFrame, max_changeset:
     return commits.agg(F.count("*").alias("total_commits")).crossJoin(skipped)  # a row each
 
 
-def resolve_renames(changes: DataFrame, renames: DataFrame, max_steps: int = 50) -> DataFrame:
+def resolve_renames(changes: DataFrame, renames: DataFrame, max_steps: int = 100) -> DataFrame:
     """changes (seq, path, ...) with each path under its newest name; renames: (seq, old, new). Smaller seq is newer.
 
-    A path is renamed by the oldest rename of it that is newer than its row, and so on, in repeated joins by name; a name that
-    comes to life again after a rename keeps its own later rows.
+    A path is renamed by the oldest rename of it that is newer than its row, and so on; a name that comes to life again
+    after a rename keeps its own later rows. Chains are resolved on the distinct (path, seq) by repeated joins, each step
+    written to the shared folder; a chain of over max_steps renames is an error.
     """
-    rows = changes.withColumn("_at", F.col("seq")).withColumn("_row", F.monotonically_increasing_id())
+    steps = work_table(renames.select(F.col("old").alias("path"), F.col("new").alias("_new"), F.col("seq").alias("_at")), "renames")
+    rows = work_table(changes.select(F.col("path").alias("_from"), F.col("seq").alias("_seq")).distinct().select("*", F.col("_from").alias("path"), F.col("_seq").alias("_upto")), "names")
+    done = None
     for _ in range(max_steps):
-        steps = renames.select(F.col("old").alias("path"), F.col("new").alias("_new"), F.col("seq").alias("_seq"))
-        hit = rows.join(steps, "path").where("_seq < _at").groupBy("_row").agg(F.max(F.struct("_seq", "_new")).alias("_to"))
-        if hit.isEmpty():
+        hit = rows.join(steps, "path").where("_at < _upto").groupBy("_from", "_seq").agg(F.max(F.struct("_at", "_new")).alias("_to"))
+        moved = work_table(rows.join(hit, ["_from", "_seq"], "left").select("_from", "_seq", F.coalesce("_to._new", "path").alias("path"), F.coalesce("_to._at", "_upto").alias("_upto"), F.col("_to").isNotNull().alias("_open")), "names")
+        ended = moved.where("not _open").drop("_open")
+        done = ended if done is None else done.unionByName(ended)
+        rows = moved.where("_open").drop("_open")
+        if rows.isEmpty():
             break
-        rows = rows.join(hit, "_row", "left").withColumn("path", F.coalesce("_to._new", "path")).withColumn("_at", F.coalesce("_to._seq", "_at")).drop("_to")
-        rows = rows.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else rows
-    return rows.drop("_at", "_row")
+    else:
+        raise RuntimeError(f"a path was renamed over {max_steps} times")
+    names = done.select(F.col("_from").alias("path"), F.col("_seq").alias("seq"), F.col("path").alias("_name"))
+    return changes.join(names, ["path", "seq"], "left").withColumn("path", F.col("_name")).select(*changes.columns)

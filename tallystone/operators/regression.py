@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions import paths
 from tallystone.operators import health as H
+from tallystone.operators.aggregate import first_by_path
 
 DROP, SLACK = 5.0, 1e-9
 
@@ -65,23 +66,30 @@ def language_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return side(before, "from").join(side(after, "to"), "language", "full_outer").select("language", status.alias("status"), "from_score", "from_grade", "to_score", "to_grade", moved.alias("score_delta"))
 
 
-def compare(before: DataFrame, after: DataFrame, version: int = 2, before_regions: DataFrame | None = None, after_regions: DataFrame | None = None, duplication: bool = True) -> dict[str, DataFrame]:
+def compare(before: DataFrame, after: DataFrame, version: int = 2, before_regions: DataFrame | None = None, after_regions: DataFrame | None = None, duplication: bool = True) -> H.Reports:
     """project, regressed, files and languages of a comparison with a baseline; regions count only if both sides have them."""
     if before_regions is None or after_regions is None:
         before_regions = after_regions = None
-    before, after = comparable(before, after, version)
+    before, after = comparable(first_by_path(before), first_by_path(after), version)
     old, new = H.health(before, version, before_regions, duplication), H.health(after, version, after_regions, duplication)
-    files = compare_scored(old["files"], new["files"])
+    return H.Reports({
+        "project": lambda: _project_change(old["project"], new["project"], compare_scored(old["files"], new["files"])),
+        "files": lambda: compare_scored(old["files"], new["files"]),
+        "regressed": lambda: regressed_files(old["files"], new["files"]),
+        "languages": lambda: language_changes(old["languages"], new["languages"]),
+    })
+
+
+def _project_change(old: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
     counts = files.agg(F.count_if(F.col("status") == "regressed").alias("regressed_files"), F.count_if(F.col("status") == "improved").alias("improved_files"))
     side = lambda df, name: df.select(*(F.col(c).alias(f"{name}_{c}") for c in ("score", "grade", "scope", "assessment")))
-    rows = side(old["project"], "baseline").crossJoin(side(new["project"], "current")).crossJoin(counts)  # a row each
+    rows = side(old, "baseline").crossJoin(side(new, "current")).crossJoin(counts)  # a row each
     changed: Column = (F.col("baseline_scope") != F.col("current_scope")) & F.col("baseline_scope").isin("production", "tests-only") & F.col("current_scope").isin("production", "tests-only")
     worse = ~changed & ((F.col("current_grade") > F.col("baseline_grade")) | (F.col("baseline_score") - F.col("current_score") >= DROP - SLACK))
     rows = rows.withColumns({"scope_changed": changed, "score_delta": F.col("current_score") - F.col("baseline_score"), "project_regressed": worse})
     rows = rows.withColumn("assessment", F.when((F.col("baseline_assessment") == "scored") & (F.col("current_assessment") == "scored"), "scored").otherwise("insufficient-data"))
     rows = rows.withColumn("failed", F.col("project_regressed") | (F.col("regressed_files") > 0)).drop("baseline_assessment", "current_assessment")
-    rows = rows.withColumn("gate_failed", F.col("failed") | (F.col("assessment") == "insufficient-data"))
-    return {"project": rows, "files": files, "regressed": regressed_files(old["files"], new["files"]), "languages": language_changes(old["languages"], new["languages"])}
+    return rows.withColumn("gate_failed", F.col("failed") | (F.col("assessment") == "insufficient-data"))
 
 
 # What a letter asks for as a threshold.

@@ -211,7 +211,7 @@ def health_v2_dimensions(spark, sf_dir):
 
 @query("tail_risk_by_lang", f"WITH {O.stats()}, {O.scored_v2()}, {O.tail('language', 'fs_v')} SELECT language, round(tail_score, 6) AS tail_score FROM tail")
 def tail_risk_by_lang(spark, sf_dir):
-    production, _ = health.project_regions(B.file_stats(spark, sf_dir), None)
+    production = health.with_regions(B.file_stats(spark, sf_dir), None).where("region = 'production'")
     return health.tail(health.score_files_v2(production, scores.Model(2)), ["language"])
 
 
