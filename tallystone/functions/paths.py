@@ -72,3 +72,16 @@ def is_test_path(path: Column) -> Column:
         | (ext.isin(CLASS_SUFFIX_EXTENSIONS) & (F.endswith(stem, F.lit("Test")) | F.endswith(stem, F.lit("Tests"))))
     )
     return F.arrays_overlap(dirs, F.array(*map(F.lit, TEST_DIRS))) | (name == "conftest.py") | ((stem != "") & named)
+
+
+def moved(path: Column, folders: dict[str, str]) -> Column:
+    """The path with the folder it starts with (or is) replaced, the longest that fits; other paths stay. '' as a new
+    folder leaves the rest alone."""
+    plain, out = relative(path), None
+    for old in sorted(folders, key=len, reverse=True):
+        new, own = folders[old].rstrip("/"), old.rstrip("/").removeprefix("./")
+        rest = plain if own in ("", ".") else F.substring(plain, F.lit(len(own) + 2), F.length(plain))
+        fits = ~F.startswith(plain, F.lit("/")) if own in ("", ".") else F.startswith(plain, F.lit(own + "/")) | (plain == own)
+        there = rest if not new else F.when(rest == "", new).otherwise(F.concat(F.lit(new + "/"), rest))
+        out = F.when(fits, there) if out is None else out.when(fits, there)
+    return plain if out is None else out.otherwise(plain)

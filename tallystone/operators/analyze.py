@@ -24,7 +24,7 @@ _PART = [T.StructField("lines", LINES), T.StructField("size", T.LongType()), T.S
 REGION = T.StructType([*_PART, T.StructField("text", T.StringType())])
 KERNEL = T.StructType([
     T.StructField("status", T.StringType()), T.StructField("language", T.StringType()), T.StructField("measurable", T.BooleanType()), *_PART,
-    T.StructField("spans", T.ArrayType(SPAN)), T.StructField("production", REGION), T.StructField("tests", REGION),
+    T.StructField("spans", T.ArrayType(SPAN)), T.StructField("production", REGION), T.StructField("tests", REGION), T.StructField("reason", T.StringType()),
 ])
 BOM = b"\xef\xbb\xbf"
 
@@ -42,6 +42,8 @@ class Options:
     spans: bool = False
     duplication: bool = True
     attributes: Attributes | None = None
+    attributes_root: str = ""  # the folder that the attribute file's paths start from
+    linguist: bool = True
 
 
 def _lines(content: str, lang: Language) -> dict:
@@ -61,10 +63,11 @@ def _spans(content: str, lang: Language) -> list[dict]:
 def analyze_file(path: str, content: bytes, registry: Registry, options: Options) -> dict:
     """The kernel's row of one file; status is 'ok', 'filtered' or 'error'."""
     try:
-        attributes, relative = options.attributes, path.removeprefix("./")
-        if attributes and not options.everything and attributes.excluded(relative):
+        attributes, relative = options.attributes if options.linguist else None, path.removeprefix("./")
+        inside = path.removeprefix(options.attributes_root).lstrip("/").removeprefix("./")
+        if attributes and not options.everything and attributes.excluded(inside):
             return {"status": "filtered"}
-        named = attributes.language(relative) if attributes else None
+        named = attributes.language(inside) if attributes else None
         lang = (registry.named(named) if named else None) or registry.detect(path, content)
         if lang is None or (options.languages and lang.name.lower() not in {x.lower() for x in options.languages}):
             return {"status": "filtered"}
@@ -80,8 +83,8 @@ def analyze_file(path: str, content: bytes, registry: Registry, options: Options
         if lang.inline_test_res and not _is_test(relative) and (parts := C.split_tests(source, lang)):
             out["production"], out["tests"] = _region(parts[0], lang), _region(parts[1], lang)
         return out
-    except Exception:  # a file that the kernel fails on is counted as unreadable, others go on
-        return {"status": "error"}
+    except Exception as e:  # a file that the kernel fails on is counted as unreadable and says why; others go on
+        return {"status": "error", "reason": f"{type(e).__name__}: {e}"}
 
 
 def generated(content: bytes) -> bool:
@@ -190,22 +193,15 @@ def detect_languages(files: DataFrame, registry: Registry | None = None) -> Data
 
 
 def analyze_paths(spark: SparkSession, roots: list[str], rules: filters.PathRules | None = None, registry: Registry | None = None, options: Options | None = None, **walking) -> tuple[Analysis, dict]:
-    """An analysis of trees on the driver's disk, with the counters of the walk. Attributes come from the first root."""
+    """An analysis of trees on the driver's disk, with the counters of the walk. Paths stay as walked, so files of several
+    roots never share one. Attributes come from the first root."""
     from pathlib import Path
 
     from tallystone.sources import tree
 
     options = options or Options()
-    if options.attributes is None and (found := Path(roots[0], ".gitattributes")).is_file():
-        options.attributes = Attributes.parse(found.read_text(errors="replace"))
+    home = Path(roots[0]) if Path(roots[0]).is_dir() else Path(roots[0]).parent
+    if options.attributes is None and options.linguist and (found := home / ".gitattributes").is_file():
+        options.attributes, options.attributes_root = Attributes.parse(found.read_text(errors="replace")), "" if str(home) == "." else str(home)
     files, counters = tree.scan_tree(spark, roots, rules, **walking)
-    strip = F.col("path")
-    for root in roots:
-        strip = F.regexp_replace(strip, "^" + _quoted(root.rstrip("/") + "/"), "") if root not in (".", "./") else strip
-    return analyze(files.withColumn("path", strip), registry, options), dict(counters)
-
-
-def _quoted(s: str) -> str:
-    import re
-
-    return re.escape(s)
+    return analyze(files, registry, options), dict(counters)

@@ -45,6 +45,7 @@ def cocomo_basic(project: str = "organic", eaf: float = 1.0) -> EstimationModel:
 
 
 def cocomo_2(eaf: float = 1.0, scale=COCOMO_2_SCALE, a: float = 2.94, b: float = 0.91, c: float = 3.67, d: float = 0.28) -> EstimationModel:
+    """scale: the scale factors; their sum alone counts."""
     e = b + 0.01 * sum(scale)
     f = d + 0.2 * (e - b)
     return EstimationModel("COCOMO II", lambda code, _: a * eaf * _power(code / 1000.0, e), lambda eff, code, _: c * _power(eff, f), params={"A": a, "E (exponent)": round(e, 4), "SF sum": sum(scale), "EAF": eaf})
@@ -56,8 +57,9 @@ def putnam(ck: float = 8000.0, d0: float = 15.0) -> EstimationModel:
     return EstimationModel("Putnam (SLIM)", lambda code, _: some(code, d0 * _power(years(code), 3) * 12.0), lambda e, code, _: some(code, years(code) * 12.0), params={"Ck": ck, "D0": d0})
 
 
-def locomo(preset: str = "medium", tokens_per_line: float = 10.0, input_per_line: float = 20.0, complexity_weight: float = 5.0, iterations: float = 1.5, iteration_weight: float = 2.0, minutes_per_line: float = 0.1) -> EstimationModel:
-    in_price, out_price, speed = LOCOMO_PRESETS[preset]
+def locomo(preset: str = "medium", tokens_per_line: float = 10.0, input_per_line: float = 20.0, complexity_weight: float = 5.0, iterations: float = 1.5, iteration_weight: float = 2.0, minutes_per_line: float = 0.1, input_price: float | None = None, output_price: float | None = None, tokens_per_second: float | None = None) -> EstimationModel:
+    """Prices and speed come from the preset unless they are given."""
+    in_price, out_price, speed = (own if own is not None else usual for own, usual in zip((input_price, output_price, tokens_per_second), LOCOMO_PRESETS[preset], strict=True))
 
     def tokens(code: Column, cyclomatic: Column) -> tuple[Column, Column]:
         root = F.sqrt(F.when(code > 0, cyclomatic / code).otherwise(0.0))
@@ -66,7 +68,7 @@ def locomo(preset: str = "medium", tokens_per_line: float = 10.0, input_per_line
 
     return EstimationModel(
         "LOCOMO", lambda code, _: code * minutes_per_line / 60.0 / 160.0, lambda e, code, cc: tokens(code, cc)[1] / speed / (730.0 * 3600.0),
-        lambda code, cc: tokens(code, cc)[0] / 1e6 * in_price + tokens(code, cc)[1] / 1e6 * out_price, {"preset": preset},
+        lambda code, cc: tokens(code, cc)[0] / 1e6 * in_price + tokens(code, cc)[1] / 1e6 * out_price, {"preset": preset, "input price": in_price, "output price": out_price, "tokens per second": speed},
     )
 
 

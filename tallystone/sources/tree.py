@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
+import subprocess
 from collections import Counter
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from tallystone.functions import paths
 from tallystone.operators.filters import PathRules, glob_regex
 
+#: Names of files that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_FILES = 200_000
 IGNORE_FILES, OWN_DIR = (".gitignore", ".tallystoneignore"), ".tallystone"
 
 
@@ -70,6 +74,30 @@ class Listing:
     counters: Counter = field(default_factory=Counter)
 
 
+def _outer_rules(root: str) -> list[tuple[str, IgnoreRules]]:
+    """Rules from outside a tree: the user's own ignore file for git, and those of the folders above it in its repository, each with
+    the part of the tree's path below its folder."""
+    found = []
+    named = subprocess.run(["git", "config", "--path", "--get", "core.excludesFile"], capture_output=True, text=True).stdout.strip() if shutil.which("git") else ""
+    home = Path(named) if named else Path(os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config", "git", "ignore")
+    if home.is_file():
+        found.append(("", IgnoreRules.parse(home.read_text(errors="replace"))))
+    here = Path(root).resolve()
+    above = []
+    for folder in here.parents:
+        if (here / ".git").exists() and not above:
+            break  # the tree is a repository itself
+        above.append(folder)
+        if (folder / ".git").exists():
+            for up in reversed(above):
+                below = here.relative_to(up).as_posix()
+                found += [(below, IgnoreRules.parse(p.read_text(errors="replace"))) for name in IGNORE_FILES if (p := up / name).is_file()]
+                if up == folder and (p := up / ".git/info/exclude").is_file():
+                    found.append((below, IgnoreRules.parse(p.read_text(errors="replace"))))
+            break
+    return found
+
+
 def walk(root: str, rules: PathRules | None = None, ignore: bool = True, ignore_files=IGNORE_FILES, follow_links: bool = False) -> Listing:
     """The files below root that the rules keep, in path order; counts what was filtered and could not be read."""
     if not os.path.exists(root):
@@ -78,6 +106,7 @@ def walk(root: str, rules: PathRules | None = None, ignore: bool = True, ignore_
     if os.path.isfile(root):
         out.files.append(root)
         return out
+    outer = _outer_rules(root) if ignore else []
 
     def enter(folder: str, rel: str, active: list[tuple[str, IgnoreRules]], depth: int) -> None:
         if ignore:
@@ -94,7 +123,9 @@ def walk(root: str, rules: PathRules | None = None, ignore: bool = True, ignore_
             path = f"{rel}/{entry.name}" if rel else entry.name
             is_dir = entry.is_dir(follow_symlinks=follow_links)
             inside = lambda base: path[len(base) + 1 :] if base else path  # noqa: B023, E731
-            said = next((d for base, r in reversed(active) if (d := r.decision(inside(base), is_dir)) is not None), False)
+            said = next((d for base, r in reversed(active) if (d := r.decision(inside(base), is_dir)) is not None), None)
+            if said is None:
+                said = next((d for above, r in reversed(outer) if (d := r.decision(f"{above}/{path}" if above else path, is_dir)) is not None), False)
             if said:
                 continue
             if is_dir:
@@ -119,8 +150,9 @@ def read_paths(spark: SparkSession, files: list[str]) -> DataFrame:
     given = {os.path.abspath(f): f for f in files}
     rows = spark.read.format("binaryFile").load(list(given))
     names = spark.createDataFrame(list(given.items()), "_full string, _given string")
+    names = F.broadcast(names) if len(given) <= MAX_BROADCAST_FILES else names
     rows = rows.withColumn("_full", F.regexp_replace("path", "^file:/*", "/"))
-    return rows.join(F.broadcast(names), "_full").select(F.col("_given").alias("path"), "content")  # the driver's own list
+    return rows.join(names, "_full").select(F.col("_given").alias("path"), "content")
 
 
 def scan_tree(spark: SparkSession, roots: list[str], rules: PathRules | None = None, **options) -> tuple[DataFrame, Counter]:

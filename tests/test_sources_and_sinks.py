@@ -1,9 +1,13 @@
+import io
 import json
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallystone import cli
+from tallystone.functions import paths
+from tallystone.operators.analyze import analyze_paths
 from tallystone.sinks import render
 from tallystone.sinks.report import Report, combined
 from tallystone.sources import config, gitlog, tree
@@ -129,6 +133,69 @@ def test_commands(spark, repo, capsys, monkeypatch):
     assert cli.tool(spark, "change_coupling", ".")["pairs"][0]["degree"] == 100
 
 
+def test_several_roots_keep_their_paths(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    for folder in ("src", "lib", "tests"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.py").write_text("alpha = compute(1)\nbeta = compute(2)\ngamma = compute(3)\ndelta = compute(4)\n")
+    a, _ = analyze_paths(spark, ["src", "lib", "./src"])
+    assert {(r.path, r.duplicate_lines) for r in a.file_stats.collect()} == {("src/x.py", 4), ("lib/x.py", 4)}
+    tested, _ = analyze_paths(spark, ["tests"])
+    assert [r.path for r in tested.file_stats.where(paths.is_test_path(F.col("path"))).collect()] == ["tests/x.py"]
+    rows = spark.createDataFrame([(p,) for p in ("src/x.py", "./src/x.py", "srcs/x.py", "/abs/a", "src")], "path string")
+    at = lambda folders: [r.p for r in rows.select(paths.moved(F.col("path"), folders).alias("p")).collect()]
+    assert at({"src": "top/src"}) == ["top/src/x.py", "top/src/x.py", "srcs/x.py", "/abs/a", "top/src"]
+    assert at({".": "sub", "/abs": ""}) == ["sub/src/x.py", "sub/src/x.py", "sub/srcs/x.py", "a", "sub/src"]
+
+
+def test_commands_on_a_folder_of_the_repository(spark, tmp_path, capsys, monkeypatch):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=Al", "-c", "user.email=a@x", *a], check=True, capture_output=True)
+    git("init", "-q", "-b", "main")
+    (tmp_path / "src").mkdir()
+    (tmp_path / "other.py").write_text("def o():\n    if x: pass\n" * 9)
+    for k in range(6):
+        for name in ("a.py", "b.py"):
+            (tmp_path / "src" / name).write_text(f"def f():\n    if x:\n        return {k}\n")
+        git("add", "-A")
+        git("commit", "-qm", f"c{k}")
+    monkeypatch.chdir(tmp_path)
+    found = json.loads(run(spark, capsys, "hotspot", "src", "-o", "json")[1])
+    assert {r["path"]: r["commits"] for r in found["files"]} == {"src/a.py": 6, "src/b.py": 6}
+    assert run(spark, capsys, "coupling", "src", "-o", "csv")[1].splitlines()[1].startswith("src/a.py,src/b.py,6")
+    code, out = run(spark, capsys, "health", "src", "--baseline", "HEAD", "--fail-on-regression", "-o", "json")
+    assert code == 0 and json.loads(out)["regression"]["score_delta"] == 0
+    (tmp_path / "new").mkdir()
+    (tmp_path / "new" / "n.py").write_text("n = 1\n")
+    with pytest.raises(SystemExit, match="does not exist"):
+        cli.main(["health", "new", "--baseline", "HEAD", "--no-config"], spark)
+    ask = lambda **x: json.dumps({"jsonrpc": "2.0", "id": 1, **x})
+    lines = [ask(method="initialize"), json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}), ask(method="tools/list"), ask(method="tools/call", params={"name": "file_metrics", "arguments": {"file": "src/a.py"}}), ask(method="no/such")]
+    out = io.StringIO()
+    cli.serve(spark, lines, out)
+    first, tools, metrics, unknown = map(json.loads, out.getvalue().splitlines())
+    assert first["result"]["serverInfo"]["name"] == "tallystone" and len(tools["result"]["tools"]) == 5 and unknown["error"]["code"] == -32601
+    found = json.loads(metrics["result"]["content"][0]["text"])
+    assert found["lines"]["total"] == 3 and found["health"]["grade"] == "A" and not metrics["result"]["isError"]
+
+
+def test_estimate_takes_parameters():
+    models = cli.estimation_models({"project_type": "embedded", "eaf": 2.0, "sf_sum": 20.0, "ck": 5000.0, "locomo_preset": "small", "llm_output_price": 9.0})
+    assert models["cocomo-basic"].params == {"Project Type": "embedded", "EAF": 2.0} and models["cocomo2"].params["SF sum"] == 20.0
+    assert models["putnam"].params["Ck"] == 5000.0 and models["locomo"].params["output price"] == 9.0 and models["locomo"].params["input price"] == 0.5
+
+
+def test_ignore_rules_from_above(tmp_path, monkeypatch):
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".gitignore").write_text("sub/gone.py\n*.tmp\n")
+    (tmp_path / "sub").mkdir()
+    for name in ("gone.py", "kept.py", "x.tmp", "y.mine"):
+        (tmp_path / "sub" / name).write_text("x\n")
+    (tmp_path / "home" / "git").mkdir(parents=True)
+    (tmp_path / "home" / "git" / "ignore").write_text("*.mine\n")
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "home"))
+    assert [f.rsplit("/", 1)[-1] for f in tree.walk(str(tmp_path / "sub")).files] == ["kept.py"]
+
+
 def test_snapshots(spark, tmp_path):
     from tests.test_operators import SMALL, stats
 
