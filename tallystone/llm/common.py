@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallystone.sources.work import work_table
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,20 +22,10 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tallystone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written as Parquet to the shared folder (spark.checkpoint.dir) and read again: cuts the lineage and survives lost
+    executors. The table is deleted when the driver ends."""
+    return work_table(df, name)
 
 
 @contextlib.contextmanager
@@ -50,14 +40,25 @@ def arrow_rows(spark: SparkSession, n: int):
         spark.conf.set(key, before)
 
 
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """Whether df has at most max_rows rows; reads no more than that many."""
-    return df.limit(max_rows + 1).count() <= max_rows
+#: Bytes, as JSON text, that a broadcast may have.
+MAX_BROADCAST_BYTES = 256 << 20
+
+
+def small_enough(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether df has at most max_rows rows and max_bytes bytes; reads little more than that many rows."""
+    n, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return n <= max_rows and size <= max_bytes
+
+
+def broadcast_within(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its counted rows and bytes stay in the bounds; otherwise left to a shuffled join."""
+    return F.broadcast(df) if small_enough(df, max_rows, max_bytes) else df
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows stay in the bound; otherwise left to a shuffled join."""
-    return F.broadcast(df) if small_enough(df, max_rows) else df
+def new_name(df: DataFrame, wanted: str) -> str:
+    """wanted, or the first of wanted_1, wanted_2, ... that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (wanted, *(f"{wanted}_{k}" for k in range(1, len(taken) + 2))) if n.lower() not in taken)
 
 
 def numbered(df: DataFrame, groups: list[str], key: str, first: Column | None = None, rows_per_bucket: int = 2000, total: int | None = None, n_groups: int = 1, out: str = "idx") -> DataFrame:
@@ -73,8 +74,12 @@ def numbered(df: DataFrame, groups: list[str], key: str, first: Column | None =
         place = first.cast("int") * buckets + place
     df = df.withColumn("_bucket", place)
     by = [*groups, "_bucket"]
-    counts = df.groupBy(*by).count()
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*by, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    counts = df.groupBy(*by).count().withColumn("_block", F.floor(F.col("_bucket") / 1000))
+    # starts of blocks of 1000 buckets first, then of the buckets in a block, so that no task orders all buckets
+    before = lambda within, order: Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy(*groups, "_block").agg(F.sum("count").alias("_all"))
+    sums = sums.select(*groups, "_block", F.coalesce(F.sum("_all").over(before(groups, "_block")), F.lit(0)).alias("_before"))
+    inner = F.coalesce(F.sum("count").over(before([*groups, "_block"], "_bucket")), F.lit(0))
+    starts = counts.select(*by, "_block", inner.alias("_inner")).join(sums, [*groups, "_block"]).select(*by, (F.col("_before") + F.col("_inner")).alias("_start"))
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1)
     return ranked.join(starts, by).withColumn(out, F.col("_start") + F.col("_rank")).drop("_bucket", "_rank", "_start")

@@ -1,19 +1,22 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame functions only.
 
 1. Benchmark items fall into windows of 10 consecutive words; a shorter item is one window. Equal windows count once.
-2. One pass over the training texts counts how often they hold each benchmark word. A window's list of terms is its
-   words from the rarest to the commonest; the rarest is its anchor.
-3. A second pass stores the index: postings (document, position) of the anchors, each with the words around it, so
-   that the posting lists of a window's other terms, adjusted by their offsets, can be intersected where the posting is.
-   Each document also has a posting of its own at position 0 that holds its number of words.
-4. Exact match: the second-rarest term stands at its adjusted position, then all words of the window do.
-   Proximity match: the three rarest terms stand within NEAR words of the anchor, in any order.
-
-The words of a text never leave its task; what is shuffled are counts by term, matches, and one row a document.
+2. One pass over the training texts stores the index: a posting (row, position, term) of every word that the benchmark has,
+   terms by number, and for each row a posting at position 0 with its id and number of words. Texts are read and split
+   once; all else reads the postings.
+3. The postings tell how often each term occurs. A window's terms are ordered from the rarest to the commonest.
+4. Proximity matches: the postings of a window's rarest term, intersected with the lists of its second and third term within
+   NEAR words, in any order. Positions are cut into strips for that, so a posting meets a bounded number of others.
+5. Exact matches: for what is left, the lists of all terms, each adjusted by its offset in the window, must hold the
+   window's start. An exact match is a proximity match too, as a window has at most NEAR + 1 words.
+
+Texts are never shuffled: what is are postings (three numbers), candidates, and one row a document. Joins are by row and
+position, so that neither a frequent term nor an id that many rows share meets in one task.
 
 Defined cases: null texts and texts without words have no words and are not contaminated; an item without words has no
-window; equal items each count; rows that share a doc_id count as one document (most words of any, all hits); a null
-doc_id is a document of its own; an empty table gives no documents, an empty benchmark no hits; other columns are ignored.
+window; equal items each count; each row of docs has its own result, so repeated rows have equal ones and a null id is kept;
+very long texts become many postings and no longer rows; an empty table gives no documents, an empty benchmark no hits;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ WINDOW, NEAR = 10, 9
 #: Rows of the benchmark's tables that may be broadcast; larger ones are joined by shuffles.
 MAX_BROADCAST_ROWS = 500_000
 _NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_DOCUMENT = ""  # the term of a document's own posting
 
 
 def words(col: Column) -> Column:
@@ -41,42 +43,57 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW, id_col: str = "i
     return items.select("item_id", F.explode(starts).alias("at"), "w").select("item_id", F.slice("w", F.col("at"), F.lit(size)).alias("window"))
 
 
-def term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): how often the texts (column w) hold each of the terms."""
-    seen = texts.select(F.explode("w").alias("term")).join(broadcast_within(terms, MAX_BROADCAST_ROWS), "term")
-    return terms.join(seen.groupBy("term").agg(F.count("*").alias("n")), "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 def ranked_windows(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Distinct windows with their terms (n, offset, term), rarest first."""
-    own = windows.select("window", F.posexplode("window").alias("offset", "term")).join(counts, "term")
-    return own.groupBy("window").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("terms"))
-
-
-def build_index(texts: DataFrame, anchors: DataFrame, reach: int) -> DataFrame:
-    """Postings (doc_id, term, at, n_words, around): around holds the words from `reach` before to `reach` after."""
-    marked = texts.select("doc_id", F.concat(F.array(F.lit(_DOCUMENT)), "w").alias("w"))
-    posted = marked.select("doc_id", "w", F.posexplode("w").alias("at", "term")).join(broadcast_within(anchors, MAX_BROADCAST_ROWS), "term")
-    begin = F.greatest(F.col("at") - reach, F.lit(1))
-    own = F.col("term") == _DOCUMENT
-    return posted.select(
-        "doc_id", "term", "at", (F.size("w") - 1).alias("n_words"), F.when(own, 0).otherwise(F.col("at") - begin).alias("before"),
-        F.when(~own, F.slice("w", begin + 1, F.col("at") + reach - begin + 1)).alias("around"),
-    )
-
-
-def matches(index: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(doc_id, window, start, exact, near) of every posting that a window's terms match; start counts words from 0."""
-    lists = ranked.select("window", F.col("terms")[0]["term"].alias("term"), F.col("terms")[0]["offset"].alias("offset"), F.get("terms", F.lit(1)).alias("second"), F.get("terms", F.lit(2)).alias("third"))
-    by_term = materialize(lists.groupBy("term").agg(F.collect_list(F.struct("window", "offset", "second", "third")).alias("lists")), "window-lists")
-    rows = index.where(F.col("term") != _DOCUMENT).join(broadcast_within(by_term, MAX_BROADCAST_ROWS), "term")
-    rows = rows.select("doc_id", "at", "before", "around", F.explode("lists").alias("q"))
-    start = F.col("before") - F.col("q.offset")  # of the window, in around
-    adjusted = F.get("around", start + F.col("q.second.offset"))
-    exact = (start >= 0) & (F.col("q.second").isNull() | F.coalesce(adjusted == F.col("q.second.term"), F.lit(False))) & (F.slice("around", F.greatest(start, F.lit(0)) + 1, F.size("q.window")) == F.col("q.window"))
-    held = lambda t: F.col(t).isNull() | F.array_contains("around", F.coalesce(F.col(f"{t}.term"), F.lit("")))
-    rows = rows.select("doc_id", "q.window", (F.col("at") - 1 - F.col("q.offset")).alias("start"), exact.alias("exact"), (held("q.second") & held("q.third")).alias("near"))
-    return rows.where("exact or near")
+    """(window_id, window, terms) of the distinct windows; terms (n, offset, term) stand rarest first. counts: word, term, n."""
+    numbered = materialize(windows.select("window").distinct().withColumn("window_id", F.monotonically_increasing_id()), "distinct-windows")
+    own = numbered.select("window_id", F.posexplode("window").alias("offset", "word")).join(counts, "word")
+    return own.groupBy("window_id").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("terms")).join(numbered, "window_id")
+
+
+def build_index(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings (row, at, term, id, n_words) of texts (id, w); id and n_words are set at position 0, whose term is 0.
+
+    terms: (word, term) with numbers from 1.
+    """
+    known = terms.select(F.col("word").alias("_word"), "term").unionByName(terms.sparkSession.createDataFrame([("", 0)], "_word string, term long"))
+    marked = texts.select("id", F.concat(F.array(F.lit("")), "w").alias("w"), F.monotonically_increasing_id().alias("row"))
+    posted = marked.select("row", "id", F.size("w").alias("_n"), F.posexplode("w").alias("at", "_word")).join(broadcast_within(known, MAX_BROADCAST_ROWS), "_word")
+    own = F.col("term") == 0
+    return posted.select("row", "at", "term", F.when(own, F.col("id")).alias("id"), F.when(own, F.col("_n") - 1).cast("long").alias("n_words"))
+
+
+def _beside(found: DataFrame, postings: DataFrame, k: int, near: int) -> DataFrame:
+    """Those of the candidates (row, window_id, at, terms) with the window's k-th term within `near` words, or without one."""
+    term, width = F.get("terms", F.lit(k))["term"], near + 1
+    some = found.where(F.size("terms") > k).withColumn("_term", term)
+    wanted = materialize(some.select("_term").distinct(), "list-terms")
+    lists = postings.join(broadcast_within(wanted.withColumnRenamed("_term", "term"), MAX_BROADCAST_ROWS), "term", "left_semi")
+    lists = lists.select(F.col("row").alias("_row"), F.col("term").alias("_of"), F.col("at").alias("_at"), F.floor(F.col("at") / width).alias("_strip"))
+    strip = F.floor(F.col("at") / width)
+    around = some.withColumn("strip", F.explode(F.array(strip - 1, strip, strip + 1)))
+    close = (F.col("row") == F.col("_row")) & (F.col("_term") == F.col("_of")) & (F.col("strip") == F.col("_strip")) & (F.abs(F.col("at") - F.col("_at")) <= near)
+    kept = around.join(lists, close, "left_semi").select("row", "window_id", "at").distinct()
+    return kept.unionByName(found.where(F.size("terms") <= k).select("row", "window_id", "at"))
+
+
+def matches(postings: DataFrame, ranked: DataFrame, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
+    """(row, window_id, start, length) of exact matches and (row, window_id, at) of proximity matches, at being that of the
+    rarest term; positions count words from 1."""
+    postings = postings.where("term > 0").select("row", "at", "term")
+    lists = broadcast_within(ranked.select("window_id", "terms"), MAX_BROADCAST_ROWS)
+    found = postings.join(broadcast_within(ranked.select("window_id", "terms", F.col("terms")[0]["term"].alias("term")), MAX_BROADCAST_ROWS), "term").select("row", "window_id", "at", "terms")
+    for k in (1, 2):
+        found = materialize(_beside(found, postings, k, near), "near-matches")
+        rows, found = found, found.join(lists, "window_id")
+    near_matches = rows
+    start = F.col("at") - F.col("terms")[0]["offset"]
+    starts = found.where(start >= 1).select("row", "window_id", start.alias("start"), F.size("terms").alias("length"), F.explode("terms").alias("t"))
+    asked = starts.select("row", "window_id", "start", "length", (F.col("start") + F.col("t.offset")).alias("at"), F.col("t.term").alias("term"))
+    # only postings of rows with a candidate can be asked for
+    some = materialize(near_matches.select("row").distinct(), "near-rows")
+    there = postings.join(broadcast_within(some, 4 * MAX_BROADCAST_ROWS), "row", "left_semi")
+    held = asked.join(there, ["row", "at", "term"]).groupBy("row", "window_id", "start", "length").agg(F.count("*").alias("n"))
+    return materialize(held.where("n = length").drop("n"), "exact-matches"), near_matches
 
 
 def _covered(spans: Column) -> Column:
@@ -86,37 +103,35 @@ def _covered(spans: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, near: int = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near (windows with a proximity match) of each document."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+    """id, n_words, n_hit, n_items, items_sha256, contaminated and n_near (windows with a proximity match) of each row of docs."""
+    near = max(near, size - 1)
+    texts = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
     windows = materialize(benchmark_windows(benchmark, size), "windows")
-    terms = materialize(windows.select(F.explode("window").alias("term")).distinct(), "terms")
-    ranked = materialize(ranked_windows(windows, materialize(term_counts(texts, terms), "term-counts")), "ranked-windows")
-    anchors = ranked.select(F.col("terms")[0]["term"].alias("term")).union(terms.sparkSession.createDataFrame([(_DOCUMENT,)], "term string")).distinct()
-    index = materialize(build_index(texts, materialize(anchors, "anchors"), max(size - 1, near)), "postings")
-    found = materialize(matches(index, ranked), "matches")
-
-    exact = found.where("exact")
-    hits = exact.select("doc_id", F.struct("start", F.size("window").alias("length")).alias("span")).distinct()
-    hits = hits.groupBy("doc_id").agg(_covered(F.sort_array(F.collect_list("span"))).cast("long").alias("n_hit"))
-    holders = windows.distinct().groupBy("window").agg(F.collect_list("item_id").alias("held_by"))
-    holders = materialize(holders, "window-items")
-    items = exact.select("doc_id", "window").distinct().join(broadcast_within(holders, MAX_BROADCAST_ROWS), "window")
-    items = items.select("doc_id", F.explode("held_by").alias("item")).select("doc_id", F.col("item").cast("string").alias("item")).distinct()
-    items = items.groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    close = found.where("near").select("doc_id", "window").distinct().groupBy("doc_id").agg(F.count("*").alias("n_near"))
-    out = index.where(F.col("term") == _DOCUMENT).groupBy("doc_id").agg(F.max("n_words").cast("long").alias("n_words"))
+    terms = materialize(windows.select(F.explode("window").alias("word")).distinct().withColumn("term", F.monotonically_increasing_id() + 1), "terms")
+    postings = materialize(build_index(texts, terms), "postings")
+    counts = postings.where("term > 0").groupBy("term").agg(F.count("*").alias("n"))
+    counts = materialize(terms.join(counts, "term", "left").select("word", "term", F.coalesce("n", F.lit(0)).alias("n")), "term-counts")
+    ranked = materialize(ranked_windows(windows, counts), "ranked-windows")
+    exact, close = matches(postings, ranked, near)
+
+    hits = exact.select("row", F.struct("start", "length").alias("span")).distinct()
+    hits = hits.groupBy("row").agg(_covered(F.sort_array(F.collect_list("span"))).cast("long").alias("n_hit"))
+    holders = materialize(windows.distinct().join(ranked.select("window", "window_id"), "window").select("window_id", F.col("item_id").cast("string").alias("item")), "window-items")
+    items = exact.select("row", "window_id").distinct().join(broadcast_within(holders, MAX_BROADCAST_ROWS), "window_id").select("row", "item").distinct()
+    items = items.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    close = close.select("row", "window_id").distinct().groupBy("row").agg(F.count("*").alias("n_near"))
+    out = postings.where("term = 0").select("row", "id", "n_words")
     for part in (hits, items, close):
-        part = part.withColumnRenamed("doc_id", "_id")
-        out = out.join(part, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+        out = out.join(part, "row", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        F.col("doc_id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
     )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("n_near")
+    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 ORACLE = r"""
@@ -130,8 +145,17 @@ dw AS (SELECT doc_id, i, n, array_to_string(w[i:i+n-1], ' ') AS win
 hit AS (SELECT DISTINCT doc_id, i, n, win FROM dw WHERE win IN (SELECT win FROM bw)),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit JOIN bw USING (win)) GROUP BY 1)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit JOIN bw USING (win)) GROUP BY 1),
+-- proximity: the three rarest terms of a window, ties by offset, within nine words of the rarest
+dp AS (SELECT doc_id, t, p FROM (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d) WHERE t IN (SELECT unnest(w) FROM b)),
+tc AS (SELECT t, count(*) AS n FROM dp GROUP BY 1),
+wt AS (SELECT win, unnest(string_split(win, ' ')) AS t, unnest(range(0, len(string_split(win, ' ')))) AS o FROM (SELECT DISTINCT win FROM bw)),
+rk AS (SELECT win, t, row_number() OVER (PARTITION BY win ORDER BY coalesce(n, 0), o) AS k FROM wt LEFT JOIN tc USING (t)),
+q AS (SELECT win, max(t) FILTER (k = 1) AS t1, max(t) FILTER (k = 2) AS t2, max(t) FILTER (k = 3) AS t3 FROM rk GROUP BY 1),
+nr AS (SELECT a.doc_id, count(DISTINCT q.win) AS n_near FROM dp a JOIN q ON a.t = q.t1
+  WHERE (t2 IS NULL OR EXISTS (SELECT 1 FROM dp x WHERE x.doc_id = a.doc_id AND x.t = q.t2 AND x.p BETWEEN a.p - 9 AND a.p + 9))
+    AND (t3 IS NULL OR EXISTS (SELECT 1 FROM dp x WHERE x.doc_id = a.doc_id AND x.t = q.t3 AND x.p BETWEEN a.p - 9 AND a.p + 9)) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nr USING (doc_id)
 """
