@@ -61,25 +61,39 @@ def new_name(df: DataFrame, wanted: str) -> str:
     return next(n for n in (wanted, *(f"{wanted}_{k}" for k in range(1, len(taken) + 2))) if n.lower() not in taken)
 
 
+def _bucketed(df: DataFrame, groups: list[str], key: str, total: int, n_groups: int, rows_per_bucket: int, first: Column | None) -> DataFrame:
+    buckets = max(16, total // (max(n_groups, 1) * rows_per_bucket))
+    place = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(buckets)).cast("int")
+    return df.withColumn("_bucket", place if first is None else first.cast("int") * buckets + place)
+
+
+def _starts(df: DataFrame, groups: list[str], weight: Column) -> DataFrame:
+    """(groups, _bucket, _start): what the buckets before each one hold. Blocks of 1000 buckets are added up first, then the
+    buckets of a block, so that no task orders all buckets."""
+    before = lambda within, order: Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*groups, "_bucket").agg(F.sum(weight).alias("_n")).withColumn("_block", F.floor(F.col("_bucket") / 1000))
+    blocks = sums.groupBy(*groups, "_block").agg(F.sum("_n").alias("_all"))
+    blocks = blocks.select(*groups, "_block", F.coalesce(F.sum("_all").over(before(groups, "_block")), F.lit(0)).alias("_before"))
+    inner = F.coalesce(F.sum("_n").over(before([*groups, "_block"], "_bucket")), F.lit(0))
+    return sums.select(*groups, "_bucket", "_block", inner.alias("_inner")).join(blocks, [*groups, "_block"]).select(*groups, "_bucket", (F.col("_before") + F.col("_inner")).alias("_start"))
+
+
 def numbered(df: DataFrame, groups: list[str], key: str, first: Column | None = None, rows_per_bucket: int = 2000, total: int | None = None, n_groups: int = 1, out: str = "idx") -> DataFrame:
     """A gapless number from 0 for every row of its group, without bringing a group into one task.
 
     Rows of a group are spread over buckets by a hash of `key`; the counts by bucket give each bucket its start and
     a window numbers the rows of one bucket only. Rows with a smaller `first` (0 or 1) come before all others.
     """
-    total = df.count() if total is None else total
-    buckets = max(16, total // (max(n_groups, 1) * rows_per_bucket))
-    place = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(buckets)).cast("int")
-    if first is not None:
-        place = first.cast("int") * buckets + place
-    df = df.withColumn("_bucket", place)
+    df = _bucketed(df, groups, key, df.count() if total is None else total, n_groups, rows_per_bucket, first)
     by = [*groups, "_bucket"]
-    counts = df.groupBy(*by).count().withColumn("_block", F.floor(F.col("_bucket") / 1000))
-    # starts of blocks of 1000 buckets first, then of the buckets in a block, so that no task orders all buckets
-    before = lambda within, order: Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = counts.groupBy(*groups, "_block").agg(F.sum("count").alias("_all"))
-    sums = sums.select(*groups, "_block", F.coalesce(F.sum("_all").over(before(groups, "_block")), F.lit(0)).alias("_before"))
-    inner = F.coalesce(F.sum("count").over(before([*groups, "_block"], "_bucket")), F.lit(0))
-    starts = counts.select(*by, "_block", inner.alias("_inner")).join(sums, [*groups, "_block"]).select(*by, (F.col("_before") + F.col("_inner")).alias("_start"))
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1)
-    return ranked.join(starts, by).withColumn(out, F.col("_start") + F.col("_rank")).drop("_bucket", "_rank", "_start")
+    return ranked.join(_starts(df, groups, F.lit(1)), by).withColumn(out, F.col("_start") + F.col("_rank")).drop("_bucket", "_rank", "_start")
+
+
+def running(df: DataFrame, groups: list[str], key: str, weight: str, total: int, n_groups: int = 1, rows_per_bucket: int = 2000) -> DataFrame:
+    """df with before: the sum of weight over the rows of the group that come before in the order of a hash of key, again
+    without bringing a group into one task."""
+    df = _bucketed(df, groups, key, total, n_groups, rows_per_bucket, None)
+    by = [*groups, "_bucket"]
+    inside = F.coalesce(F.sum(weight).over(Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("_inside", inside).join(_starts(df, groups, F.col(weight)), by).withColumn("before", F.col("_start") + F.col("_inside")).drop("_bucket", "_inside", "_start")

@@ -98,17 +98,71 @@ def test_sharding_law_and_sizes(docs):
 def test_sharding_keeps_groups_together(spark):
     rng = random.Random(1)
     texts = [f"text {i}" for i in range(600)]
-    rows = [t for t in texts[:200] for _ in range(rng.randint(2, 4))] + texts[200:] + ["hot"] * 500
+    rows = [t for t in texts[:200] for _ in range(rng.randint(2, 4))] + texts[200:540] + [t for t in texts[540:543] for _ in range(60)] + ["hot"] * 500
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(4)
-    got = sharding.shard(df, 10).collect()
+    found = sharding.shard(df, 10)
+    got = found.collect()
     shards_ok(got, 10)
-    by, hot = {}, Counter()
+    by = {}
     for r in got:
         by.setdefault(rows[r.doc_id], Counter())[r.shard] += 1
-    cut = sum(sum(c.values()) - max(c.values()) for t, c in by.items() if t != "hot" and sum(c.values()) > 1)
-    assert cut <= 0.15 * sum(sum(c.values()) for t, c in by.items() if t != "hot" and sum(c.values()) > 1)
-    hot = by["hot"]
-    assert sum(n for _, n in hot.most_common(5)) >= 0.8 * 500  # four shards' worth of it, in few shards
+    pairs = lambda n: n * (n - 1) // 2
+    links = sum(pairs(sum(c.values())) for c in by.values())
+    cut = links - sum(pairs(n) for c in by.values() for n in c.values())
+    assert tuple(sharding.cut_edges(found).first()) == (links, cut)
+    assert all(len(c) == 1 for t, c in by.items() if t != "hot")  # all fit: the best there is
+    size, n = len(rows) // 10, 500
+    best = pairs(n) - sum(pairs(x) for x in [size + 1] * (n // (size + 1)) + [n % (size + 1)])
+    assert pairs(n) - sum(pairs(x) for x in by["hot"].values()) <= best + n  # shards differ by one
+
+
+def best_cut(sizes, quotas):
+    """The fewest cut pairs of any split of the groups over shards of these quotas, by brute force."""
+    if not sizes:
+        return 0
+
+    def splits(n, room):
+        if not room:
+            if n == 0:
+                yield ()
+            return
+        for x in range(min(n, room[0]) + 1):
+            for rest in splits(n - x, room[1:]):
+                yield (x, *rest)
+
+    best = None
+    for taken in splits(sizes[0], quotas):
+        own = (sum(taken) ** 2 - sum(x * x for x in taken)) // 2
+        after = best_cut(sizes[1:], tuple(q - x for q, x in zip(quotas, taken, strict=True)))
+        if after is not None and (best is None or own + after < best):
+            best = own + after
+    return best
+
+
+@pytest.mark.parametrize("sizes, singles", [((2, 2, 2), 6), ((4, 3, 2), 9), ((3, 3, 3), 3), ((7, 2, 2), 4)])
+def test_sharding_against_brute_force(spark, sizes, singles):
+    rows = [f"g{k}" for k, n in enumerate(sizes) for _ in range(n)] + [f"single {k}" for k in range(singles)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    found = sharding.shard(df, 3)
+    shards_ok(found.collect(), 3)
+    quotas = tuple(len(rows) // 3 + (s < len(rows) % 3) for s in range(3))
+    cut, best = sharding.cut_edges(found).first().cut_links, best_cut(sizes, quotas)
+    start = sum(n * (n - 1) / 2 for n in sizes) * 2 / 3  # what chance alone cuts
+    print(f"cut links {cut}, least possible {best}, by chance {start:.1f}")
+    assert best <= cut <= (best + start) / 2 + 1
+
+
+def test_flows_keep_within_room():
+    rng = random.Random(4)
+    import numpy as np
+
+    for _ in range(200):
+        wanted = np.array([[0 if i == j else rng.randrange(50) for j in range(5)] for i in range(5)])
+        room = np.array([rng.randrange(-20, 40) for _ in range(5)])
+        f = sharding.flows(wanted, room)
+        assert (f >= 0).all() and (f <= wanted).all()
+        gain = f.sum(axis=0)
+        assert all(g == 0 or g - o <= r for g, o, r in zip(gain, f.sum(axis=1), room, strict=True))
 
 
 def test_sharding_empty(no_docs):
