@@ -1,14 +1,17 @@
-"""Hierarchical multi-length packing of tokenised documents into windows of at most 4096 tokens.
+"""Hierarchical multi-length packing of tokenised documents into windows of 512, 1024, 2048 and 4096 tokens.
 
-Every partition packs its own documents, so nothing is shuffled. A document's whole windows of the largest size are cut
-off first; what is left is routed by length to a tier of context size 4096, 2048, 1024 or 512. A window starts with
-the longest piece that waits, its gap takes the largest pieces of the shorter tiers that fit, and the last tokens of the
-gap are cut from a longer piece, which falls to a shorter tier. What a partition has left in the end goes to windows of
-falling powers of two, which need no padding. The windows of a round are dealt to step groups by their attention cost,
-dearest first and back and forth, so that the groups of a step take about equal time.
+Every partition packs its own documents, so nothing is shuffled. Documents are cut at whole windows of the largest size, and
+what is left is routed by its length to the tier of the smallest context size that holds it. In rounds of ROUND_TOKENS every tier, the
+largest first, is packed into windows of its own size: a window starts with the longest piece that waits in its tier, its gap
+takes the largest pieces of shorter tiers that fit (the lowest tier: its own), and the last tokens of the gap are cut from a longer
+piece, which falls to a shorter tier. Windows are always full. A tier whose pieces fill no more windows keeps them for the next round; what
+a partition has left in the end goes to windows of falling powers of two. So nothing is ever padded. The windows of a round and
+size are dealt to step groups of equal numbers of tokens by their attention cost, dearest first and back and forth, so
+that the groups of a size take about equal time.
 
 Defined cases: a null text is empty; an empty text has its end token only; each repeated row is packed as a document of
-its own; a null doc_id is kept; an empty table gives no pieces; columns beside doc_id and text are ignored.
+its own; a null doc_id is kept; a very long text is cut into many windows, in memory proportional to its length; an empty table
+gives no pieces; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -135,7 +138,8 @@ class Packer:
         self.window, self.tiers, self.step, self.round_tokens = window, sorted(tiers), step, round_tokens
         self.ids, self.groups, self.order = count(base), count(base), count()
         self.waiting: list[list] = [[] for _ in self.tiers]  # by tier: (length, order, doc_id, start, doc_tokens, bytes), sorted
-        self.tokens = 0
+        self.whole: list[list] = []  # windows of one piece
+        self.tokens = 0  # that wait in tiers
 
     def _route(self, piece) -> None:
         tier = next(k for k, t in enumerate(self.tiers) if piece[0] <= t)
@@ -143,58 +147,84 @@ class Packer:
         self.tokens += piece[0]
 
     def add(self, doc_id, data: bytes) -> list[tuple]:
-        n, w, rows = len(data) // 4, self.window, []
+        n, w = len(data) // 4, self.window
         whole = n // w * w
-        if whole:
-            rows = self._emit([[(w, 0, doc_id, s, n, data[4 * s : 4 * (s + w)])] for s in range(0, whole, w)])
+        self.whole += [[(w, 0, doc_id, s, n, data[4 * s : 4 * (s + w)])] for s in range(0, whole, w)]
         if n > whole:
             self._route((n - whole, next(self.order), doc_id, whole, n, data[4 * whole :]))
-        return rows + self._build() if self.tokens >= self.round_tokens else rows
+        return self._build() if self.tokens + len(self.whole) * w >= self.round_tokens else []
 
-    def _take(self, room: int):
-        """The longest waiting piece of at most room tokens."""
-        for pieces in reversed(self.waiting):
+    def _take(self, room: int, below: int):
+        """The longest piece of at most room tokens that waits in a tier below that number."""
+        for pieces in reversed(self.waiting[:below]):
             if k := bisect.bisect_right(pieces, room, key=lambda p: p[0]):
                 self.tokens -= pieces[k - 1][0]
                 return pieces.pop(k - 1)
         return None
 
-    def _fill(self, size: int) -> list[tuple]:
-        """A window of exactly size tokens; as many wait at least."""
-        inside, room = [], size
-        while room:
-            if piece := self._take(room):
+    def _cut(self, room: int, below: int):
+        """The first room tokens of a longer piece, from the shortest tier below that number that has pieces."""
+        pieces = next((p for p in self.waiting[:below] if p), None)
+        if pieces is None:
+            return None
+        n, _, doc_id, start, total, data = pieces.pop()
+        self.tokens -= n
+        self._route((n - room, next(self.order), doc_id, start + room, total, data[4 * room :]))
+        return room, 0, doc_id, start, total, data[: 4 * room]
+
+    def _tier(self, k: int) -> list[list]:
+        """Full windows of tier k, as many as its pieces and shorter ones fill."""
+        windows = []
+        while self.waiting[k]:
+            inside, room = [], self.tiers[k]
+            while room:
+                if not inside:
+                    piece = self._take(room, k + 1)  # the longest of this tier
+                else:
+                    piece = self._take(room, k or 1) or self._cut(room, k) or self._cut(room, k + 1)
+                if piece is None:
+                    break
                 inside.append(piece)
                 room -= piece[0]
-                continue
-            pieces = next(p for p in self.waiting if p)  # the shortest tier with pieces, all of them longer than the gap
-            n, _, doc_id, start, total, data = pieces.pop()
-            self.tokens -= n
-            inside.append((room, 0, doc_id, start, total, data[: 4 * room]))
-            self._route((n - room, next(self.order), doc_id, start + room, total, data[4 * room :]))
-            room = 0
-        return inside
-
-    def _emit(self, windows: list[list]) -> list[tuple]:
-        """Windows of one size to rows, dealt to step groups by their attention cost."""
+            if room:
+                for piece in inside:
+                    self._route(piece)
+                break
+            windows.append(inside)
+        return windows
+
+    def _emit(self, windows: list[list], size: int) -> list[tuple]:
+        """Windows of one size to rows, dealt to step groups of step * window tokens by their attention cost."""
         windows = sorted(windows, key=lambda w: -sum(p[0] * p[0] for p in w))
-        groups = [next(self.groups) for _ in range(-(-len(windows) // self.step))]
+        in_group = max(1, self.step * self.window // size)
+        groups = [next(self.groups) for _ in range(-(-len(windows) // in_group))]
         rows = []
         for k, inside in enumerate(windows):
             lap, at = divmod(k, len(groups))
-            group, sequence, offset, size = groups[at if lap % 2 == 0 else -1 - at], next(self.ids), 0, sum(p[0] for p in inside)
+            group, sequence, offset = groups[at if lap % 2 == 0 else -1 - at], next(self.ids), 0
             for n, _, doc_id, start, total, data in inside:
                 rows.append((doc_id, start, n, zlib.crc32(data), total, sequence, offset, size, group))
                 offset += n
         return rows
 
     def _build(self) -> list[tuple]:
-        return self._emit([self._fill(self.window) for _ in range(self.tokens // self.window)])
+        rows = []
+        for k in reversed(range(len(self.tiers))):
+            windows = self._tier(k)
+            if k == len(self.tiers) - 1:
+                windows, self.whole = windows + self.whole, []
+            rows += self._emit(windows, self.tiers[k])
+        return rows
 
     def finish(self) -> list[tuple]:
-        rows = self._build()
+        rows, every = self._build(), len(self.tiers)
         while self.tokens:
-            rows += self._emit([self._fill(1 << (self.tokens.bit_length() - 1))])
+            size = room = 1 << (min(self.tokens, self.window).bit_length() - 1)
+            inside = []
+            while room:
+                inside.append(self._take(room, every) or self._cut(room, every))
+                room -= inside[-1][0]
+            rows += self._emit([inside], size)
         return rows
 
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -86,20 +87,60 @@ def test_pack_empty(no_docs):
     assert packing.pack(no_docs).collect() == []
 
 
-def test_packer_balances_and_fills():
+def test_packer_packs_each_tier_and_balances():
     rng = random.Random(0)
-    packer, rows = packing.Packer(5, window=64, tiers=(16, 32, 64), step=4, round_tokens=2000), []
-    for d in range(500):
-        rows += packer.add(d, bytes(4 * rng.randint(1, 150)))
+    tiers, lengths = (16, 32, 64), [rng.choice([rng.randint(1, 16), rng.randint(17, 32), rng.randint(33, 64), rng.randint(65, 200)]) for _ in range(800)]
+    packer, rows = packing.Packer(5, window=64, tiers=tiers, step=4, round_tokens=4000), []
+    for d, n in enumerate(lengths):
+        rows += packer.add(d, b"".join(bytes([d % 256, i % 256, 0, 0]) for i in range(n)))
+    in_rounds = len(rows)
     rows += packer.finish()
-    sizes = {}
-    for doc, start, n, crc, total, seq, offset, size, group in rows:
-        sizes.setdefault(seq, [0, size])[0] += n
-    assert all(n == size for n, size in sizes.values()) and min(sizes) == 5
+    windows = {}
+    for k, row in enumerate(rows):
+        windows.setdefault(row[5], (k < in_rounds, []))[1].append(row)
+    for in_round, own in windows.values():
+        size = own[0][7]
+        assert sum(r[2] for r in own) == size and [r[6] for r in own] == [sum(r[2] for r in own[:k]) for k in range(len(own))]  # full and gapless
+        if in_round:
+            assert size in tiers and (size == tiers[0] or own[0][2] > size // 2)  # begins with a piece of its tier
+    assert {own[0][7] for in_round, own in windows.values() if in_round} == set(tiers)
+    assert min(windows) == 5 and sum(r[2] for r in rows) == sum(lengths)
+    covered = {}
+    for d, start, n, *_ in rows:
+        covered.setdefault(d, []).append((start, n))
+    for d, own in covered.items():
+        at = 0
+        for start, n in sorted(own):
+            assert start == at
+            at += n
+        assert at == lengths[d]
     groups = {}
-    for *_, seq, offset, size, group in rows:
-        groups.setdefault(group, set()).add(seq)
-    assert all(len(g) <= 4 for g in groups.values())
+    for in_round, own in windows.values():
+        if in_round:
+            groups.setdefault((own[0][7], own[0][8]), []).append(sum(r[2] ** 2 for r in own))
+    for (size, _), costs in groups.items():
+        assert len(costs) * size <= 4 * 64  # tokens of a step
+    assert len({g for _, g in groups}) == len(groups)
+
+
+def brute_fewest_pieces(lengths, sizes):
+    """The fewest pieces in which documents can fill windows of these sizes, by trying every order."""
+    best = None
+    for order in itertools.permutations(lengths):
+        ends = set(itertools.accumulate(order)) | set(itertools.accumulate(sizes))
+        best = min(best or len(ends), len(ends))
+    return best
+
+
+@pytest.mark.parametrize("lengths", [(8, 4, 4), (7, 6, 3), (5, 5, 6), (3, 3, 3, 3, 4), (16, 9, 7), (13, 2, 1)])
+def test_packer_cuts_little(lengths):
+    packer = packing.Packer(0, window=16, tiers=(4, 8, 16), step=2, round_tokens=10**6)
+    rows = [r for d, n in enumerate(lengths) for r in packer.add(d, bytes(4 * n))] + packer.finish()
+    sizes = [own[0][7] for own in ([r for r in rows if r[5] == s] for s in sorted({r[5] for r in rows}))]
+    assert sum(r[2] for r in rows) == sum(lengths) == sum(sizes)
+    fewest = brute_fewest_pieces(lengths, sizes)
+    print(f"{lengths}: {len(rows)} pieces in windows of {sizes}, fewest {fewest}")
+    assert len(rows) <= fewest + 2
 
 
 def test_added_tokens_match_raw_text_only():
