@@ -1,6 +1,5 @@
-"""The queries of this subpackage and their oracle SQL."""
+"""The queries of this subpackage and their oracle SQL; the entry module adds the pipeline, which lies outside."""
 
-import corpus_pipeline
 from tallystone.llm import chat_format, decontamination, licenses, lm_scoring, near_dedup, packing, quality, sharding, topk, url_filters
 
 
@@ -16,7 +15,6 @@ def queries():
         "op8_quality": quality.query,
         "op9_packing": packing.query,
         "op10_sharding": sharding.query,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -18,8 +18,9 @@ def _measure(links: DataFrame):
     return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component) for every node of links (a, b); component is the smallest node that can be reached."""
+def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(node, component) for every node of links (a, b); component is the smallest node that can be reached. The rounds needed
+    grow with the logarithm of the longest path; more than max_rounds are an error."""
     links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     links = materialize(links, "links")
     before = _measure(links)
@@ -34,5 +35,8 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return found.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -20,8 +20,9 @@
 
 Defined cases: words are runs of other than ASCII white space, A-Z lower-cased; a text of under five words is one shingle; a
 null text or one without words has an empty set, no links and itself as component; repeated rows are copies and each
-has a result row; rows that share a doc_id are one document, with one of its texts for links; a null doc_id has no component and is kept; an
-empty table gives an empty result; columns beside doc_id and text are ignored.
+has a result row; rows that share a doc_id are linked with each other and keep all the links of their texts; a null doc_id has no
+component and is kept; very long texts are handled alone, in memory proportional to their length; an empty table gives an
+empty result; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -370,26 +371,40 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = own.mapInArrow(_signatures, "id long, n long, s1 long, s2 long, marks binary, roots array<long>")
     signed = materialize(signed, "sketches")
+    if not signed.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+        found = _by_row(own)
+    else:
+        component = _components(signed, own)
+        out = signed.select("id", "n").join(broadcast_within(component, MAX_BROADCAST_ROWS), F.col("id") == F.col("node"), "left")
+        found = out.select("id", "n", F.coalesce("component", "id").alias("component"))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def _components(signed: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, component) of the documents that are linked with others; ids are not repeated."""
     # classes of equal sets, by their smallest document; only classes of several need rows of their own
     full = signed.where("n > 0 and id is not null")
     classes = materialize(full.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1").drop("size"), "classes")
     named = full.select("id", "n", "s1", "s2").join(broadcast_within(classes, MAX_BROADCAST_ROWS), ["n", "s1", "s2"]).select("id", "rep").where("id <> rep")
-    named = materialize(named.distinct(), "copies")
-    reps = full.join(named.select("id").distinct(), "id", "left_anti").select("id", "n", "marks", "roots")
-    reps = materialize(reps.dropDuplicates(["id"]), "reps")
+    named = materialize(named, "copies")
+    reps = materialize(full.join(named.select("id"), "id", "left_anti").select("id", "n", "marks", "roots"), "reps")
     found = similar(reps, own)
-    # a copy has its class's component, and an id that several rows share joins what they are linked with
-    linked = found.select("node", "component").unionByName(named.select(F.col("id").alias("node"), F.col("rep").alias("component")).where("node <> component"))
-    many = linked.groupBy("node").count().where("count > 1").limit(1)
     of_copies = named.withColumnRenamed("id", "copy").join(broadcast_within(found, MAX_BROADCAST_ROWS), F.col("rep") == F.col("node"), "left").select(F.col("copy").alias("node"), F.coalesce("component", "rep").alias("component"))
-    if many.isEmpty():
-        found = found.unionByName(of_copies)
-    else:
-        found = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    found = materialize(found, "components")
-    out = signed.select("id", "n").join(broadcast_within(found, MAX_BROADCAST_ROWS), F.col("id") == F.col("node"), "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return materialize(found.select("node", "component").unionByName(of_copies), "components")
+
+
+def _by_row(own: DataFrame) -> DataFrame:
+    """(id, n, component) where ids repeat: rows are the documents, and rows of one id belong together."""
+    rows = materialize(own.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = near_dedup(rows.where("id is not null").select("row", "text"), "row").select("row", F.col("n_shingles").alias("n"), F.col("component_id").alias("part"))
+    found = materialize(found.join(rows.select("row", "id"), "row"), "row-parts")
+    first = found.groupBy("id").agg(F.min("part").alias("first"))
+    joined = materialize(components(found.join(first, "id").select(F.col("part").alias("a"), F.col("first").alias("b")).distinct()), "part-components")
+    found = found.join(joined, F.col("part") == F.col("node"), "left").select("id", "n", F.coalesce("component", "part").alias("part"))
+    smallest = found.groupBy("part").agg(F.min("id").alias("component"))
+    found = found.join(smallest, "part").select("id", "n", "component")
+    without = rows.where("id is null").select("id", "text").mapInArrow(_signatures, "id long, n long, s1 long, s2 long, marks binary, roots array<long>")
+    return found.unionByName(without.select("id", "n", F.lit(None).cast("long").alias("component")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

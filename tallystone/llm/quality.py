@@ -6,13 +6,14 @@ on the conditional likelihood, where each line of a training text carries its do
 each line the probability to be good; the mean over lines, weighted by their length, is the document's raw quality, and
 a logistic curve fitted on the training texts turns it into a probability.
 
-The training texts are a bounded sample (MAX_DOCS, MAX_LINES) of the labelled rows by a hash of their id; all else reads every
-row and the whole of every text. Only the text counts for a score.
+The training texts are a bounded sample of the labelled rows by a hash of their id: at most MAX_DOCS rows, MAX_LINES lines and
+MAX_BYTES of text each; rows and lines are bounded before any of them meet in a task. All else reads every row and the
+whole of every text. Only the text counts for a score.
 
 Defined cases: a text that is null, empty or all white space takes the share of good texts in training as its score;
 without training rows, or with rows of one label only, every score is that share (0.5 without rows); each repeated row has its own
-result; rows with a null id are scored; an empty table gives an empty result; columns that the operator adds replace
-columns of those names; very long texts are handled alone, in memory proportional to their length.
+result; rows with a null id are scored, train nothing and are not held out; labels that contradict each other count as 0; an
+empty table gives an empty result; columns that the operator adds replace columns of those names, and their names can be given; very long texts are handled alone, in memory proportional to their length.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallystone.llm.arrow_text import _BYTES, _powers, chunks
 
-MAX_DOCS, MAX_LINES, THRESHOLD = 3000, 150_000, 0.7
+MAX_DOCS, MAX_LINES, MAX_BYTES, THRESHOLD = 3000, 150_000, 1 << 20, 0.7
 EPOCHS, RATE, RIDGE = 120, 0.1, 1e-3
 
 # Kinds of bytes: 0 lower case, 1 upper case, 2 digit, 3 space, 4 . , ; : ' " - ( ), 5 ! ?, 6 |, 7 other ASCII signs, 8 beyond ASCII, 9 control
@@ -186,12 +187,18 @@ def fit(own: np.ndarray, length: np.ndarray, counts: np.ndarray, labels: np.ndar
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> QualityModel:
-    """Fits on at most max_docs labelled rows (max_lines lines) with the smallest hashes of their id, among the usable ones."""
+def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES, max_bytes: int = MAX_BYTES) -> QualityModel:
+    """Fits on at most max_docs labelled rows (max_lines lines in all, max_bytes a text) with the smallest hashes of their id,
+    among the usable ones."""
     some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     some = (some if usable is None else some.where(usable)).groupBy(id_col).agg(F.min(label_col).alias("_label"))
-    some = some.orderBy(F.xxhash64(id_col), id_col).limit(max_docs)  # the bound of what is broadcast and collected
-    texts = docs.select(id_col, F.col(text_col).alias("_text")).where("_text is not null").join(F.broadcast(some), id_col)
+    some = some.orderBy(F.xxhash64(id_col), id_col).limit(max_docs)  # the bound of what is broadcast
+    own = docs.select(F.col(id_col), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & (F.octet_length("_text") <= max_bytes))
+    texts = own.join(F.broadcast(some), id_col).withColumn("_lines", F.length("_text") - F.length(F.replace("_text", F.lit("\n"))) + 1)
+    order = [F.xxhash64(id_col), F.col(id_col), F.col("_lines"), F.xxhash64("_text")]
+    texts = texts.orderBy(*order).limit(max_docs)  # ids may repeat; each task keeps max_docs rows
+    so_far = F.sum("_lines").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    texts = texts.withColumn("_so_far", so_far).where(F.col("_so_far") <= max_lines).select(id_col, "_text", "_label").repartition(16, id_col)
 
     def features(batches):
         for batch, own in chunks(batches, 1):
@@ -201,38 +208,31 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
             cut = [(x[a:b].tobytes(), length[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int64()), pa.array(counts), pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())], names=["id", "label", "n", "x", "length"])
 
-    rows = texts.select(id_col, "_text", "_label").mapInArrow(features, T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, k) for c, k in (("label", T.LongType()), ("n", T.LongType()), ("x", T.BinaryType()), ("length", T.BinaryType())))]))
-    before = F.sum("n").over(_by_hash())
-    rows = rows.withColumn("_lines", before).where((F.col("_lines") <= max_lines) | (F.col("_lines") == F.col("n"))).drop("_lines") if max_lines else rows
+    rows = texts.mapInArrow(features, T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, k) for c, k in (("label", T.LongType()), ("n", T.LongType()), ("x", T.BinaryType()), ("length", T.BinaryType())))]))
     got = rows.orderBy(F.xxhash64("id"), "id", "n", "x").toArrow()
     counts, y = got["n"].to_numpy(), got["label"].to_numpy()
     own = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, N_OWN).astype(float)
     return fit(own, np.frombuffer(b"".join(got["length"].to_pylist()), np.int64), counts, y)
 
 
-def _by_hash():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)  # over the sample of max_docs rows
-
-
-def score(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """docs with score (probability of good quality) and predicted (1 from the threshold on)."""
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    names = [c for c in docs.columns if c not in (score_col, predicted_col)]
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
     at = names.index(text_col)
 
     def run(batches):
         for batch, texts in chunks(batches, at):
             found = sent.value.score(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=[*names, score_col, predicted_col])
 
     return docs.select(*names).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+    """Whether a document's label is not to be learnt from; a null id is not held out."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """The pipeline against its parts on a small folder of tables, and the queries' names."""
 
 import random
+from collections import Counter
 
 import pytest
 
+import __spark_entry__
 import corpus_pipeline
 from tallystone.llm import catalog
 
@@ -55,5 +57,25 @@ def test_run(spark, folder):
 
 def test_names():
     names = list(catalog.queries())
-    assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and "pipeline" in names
-    assert set(catalog.oracle_sql()) <= set(names)
+    assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and len(names) == 10
+    assert set(catalog.oracle_sql()) <= set(names) and "pipeline" in __spark_entry__.queries()
+
+
+def test_odd_rows_in_every_stage(spark, folder):
+    """Null ids and texts, ids with several texts, repeated rows, and columns with the operators' names."""
+    at, rows, items = folder
+    long = next(t for i, t in rows if i == 21)
+    odd = [(None, items[0][1] + " after"), (None, long), (7, rows[7][1]), (7, rows[10][1]), (7, rows[7][1]), (300, None), (301, ""), (302, "word1 " * 30_000)]
+    docs = spark.createDataFrame([(i, t, "x", 5, 1.5, "k", 2, 3) for i, t in odd], "doc_id long, text string, _n string, predicted int, score double, row_key string, row long, id int")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, at)
+        assert out.columns == docs.columns and {(r.predicted, r.score, r.row_key) for r in out.collect()} <= {(5, 1.5, "k")}
+        empty = stage(spark, docs.limit(0), at)
+        assert empty.columns == docs.columns and empty.collect() == []
+        kept = Counter((r.doc_id, r.text) for r in out.collect())
+        if name == "near_dedup":  # of the repeated row one, and both texts of id 7
+            assert kept == Counter(set(odd))
+        if name == "decontamination":
+            assert kept == Counter(odd[1:])
+    pieces = corpus_pipeline.packing_stage(spark, docs, at).collect()
+    assert Counter(p.doc_id for p in pieces if p.start == 0) == Counter(i for i, _ in odd)

@@ -1,6 +1,7 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -23,19 +24,23 @@ def vectors(spark):
     return rows, df
 
 
-@pytest.mark.parametrize("section", [topk.SECTION_VALUES, 60])
-def test_top_k(spark, section):
+@pytest.mark.parametrize("values", [(topk.QUERY_VALUES, topk.BLOCK_VALUES), (60, 500)])
+def test_top_k(spark, values):
     rows, df = vectors(spark)
-    known = {i: [int(np.floor(64 * np.float64(x))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    got = topk.top_k(df, F.col("vec_id") % 20 == 0, 20, section_values=section).collect()
-    by = {}
-    for r in got:
-        by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    want = {}
-    for q in [i for i in known if i % 20 == 0]:
-        best = sorted((-sum(a * b for a, b in zip(known[q], v, strict=False)), i) for i, v in known.items() if i != q)[:20]
-        want[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert {q: sorted(x) for q, x in by.items()} == want
+    known = [(i, [int(np.floor(64 * np.float64(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, 20, query_values=values[0], block_values=values[1]).collect()
+    want = Counter()  # ids 0 and 20 stand in two rows, and each row is a query and a candidate
+    for n, (q, own) in enumerate(known):
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for m, (i, v) in enumerate(known) if m != n)[:20]
+            want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert Counter(tuple(r) for r in got) == want
+
+
+def test_top_k_refuses_scores_beyond_64_bits(spark):
+    big = spark.createDataFrame([(0, [1e19]), (1, [1e19])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        topk.top_k(big, F.col("vec_id") % 20 == 0)
 
 
 def test_top_k_empty_and_few(spark):
