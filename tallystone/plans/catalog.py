@@ -424,3 +424,6 @@ def streaming_churn(spark, sf_dir):
     from tallystone.streaming.churn import daily_churn
 
     return daily_churn(B.log_b(spark, sf_dir)).select("path", F.col("day").cast("timestamp_ntz").alias("day"), "commits", "lines_added")
+
+
+from tallystone.plans import code_catalog  # noqa: E402, F401  (registers its queries here)
