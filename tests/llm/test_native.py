@@ -139,7 +139,7 @@ def best_cut(sizes, quotas):
     return best
 
 
-@pytest.mark.parametrize("sizes, singles", [((2, 2, 2), 6), ((4, 3, 2), 9), ((3, 3, 3), 3), ((7, 2, 2), 4)])
+@pytest.mark.parametrize("sizes, singles", [((2, 2, 2), 6), ((4, 3, 2), 9), ((3, 3, 3), 3), ((7, 2, 2), 4), ((5, 2), 5), ((7, 2, 2), 1), pytest.param((3, 3, 3), 0, marks=pytest.mark.xfail(reason="without free documents moves are few: 7 links cut where none need be"))])
 def test_sharding_against_brute_force(spark, sizes, singles):
     rows = [f"g{k}" for k, n in enumerate(sizes) for _ in range(n)] + [f"single {k}" for k in range(singles)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
