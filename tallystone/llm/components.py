@@ -8,35 +8,31 @@ from pyspark.sql import functions as F
 from tallystone.llm.common import materialize
 
 
-def _smallest(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v) with m, the smallest of u and all its v. Sums by u first, so no u's rows meet in one task."""
-    low = materialize(pairs.groupBy("u").agg(F.min("v").alias("m")), "star-min").select("u", F.least("u", "m").alias("m"))
-    return pairs.join(low, "u")
-
-
-def _measure(links: DataFrame):
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _nodes(pairs: DataFrame) -> DataFrame:
+    """Each u of pairs (u, v): the smallest of u and its v as m, how many v are smaller and how many larger. Sums by u before
+    any join, so no u's rows meet in one task."""
+    smaller, larger = F.count_if(F.col("v") < F.col("u")), F.count_if(F.col("v") > F.col("u"))
+    return materialize(pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), smaller.alias("smaller"), larger.alias("larger")), "star-min")
 
 
 def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) for every node of links (a, b); component is the smallest node that can be reached. The rounds needed
-    grow with the logarithm of the longest path; more than max_rounds are an error."""
+    grow with the logarithm of the longest path; more than max_rounds are an error.
+
+    Rounds end when the links are stars: no node has two smaller ones, or a smaller one and larger ones.
+    """
     links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     links = materialize(links, "links")
-    before = _measure(links)
-    for _ in range(max_rounds if before[0] else 0):
-        both = materialize(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))), "star-both")
-        large = _smallest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    for _ in range(max_rounds):
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        nodes = _nodes(both)
+        if nodes.where("smaller > 1 or smaller > 0 and larger > 0").isEmpty():
+            break
+        large = both.where("v > u").join(nodes.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "large-star")
-        marked = _smallest(large)
+        marked = large.join(_nodes(large).select("u", "m"), "u")
         small = marked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(marked.select("u", F.col("m").alias("v")))
         links = materialize(small.where("u <> v").distinct(), "small-star")
-        now = _measure(links)
-        if now == before:
-            break
-        before = now
     else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    found = links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return found.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return nodes.select(F.col("u").alias("node"), F.col("m").alias("component"))

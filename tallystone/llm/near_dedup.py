@@ -299,7 +299,8 @@ def full_sets(ids: DataFrame, own: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar."""
     sets = full_sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), own)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    # a node's hub is always a: with the sets of b on its pairs they are large enough for adaptive execution to split them
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     return materialize(both.select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long"), "confirmed")
 
 
@@ -363,7 +364,7 @@ def similar(reps: DataFrame, own: DataFrame) -> DataFrame:
     whole = apart.join(full_sets(apart, own), "id").select("key", "id", "n", "marks", "component", "shingles")
     with arrow_rows(spark, SET_ROWS):
         more = materialize(arranged(whole).mapInArrow(_by_node(_joined), "a long, b long").distinct(), "more-links")
-    return found if more.isEmpty() else materialize(components(links.unionByName(more)), "components")
+    return found if more.isEmpty() else materialize(components(found.toDF("a", "b").unionByName(more)), "components")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
