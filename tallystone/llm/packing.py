@@ -34,7 +34,7 @@ from tallystone.llm.arrow_text import give_back
 WINDOW, END_ID, TIERS, STEP = 4096, 2, (512, 1024, 2048, 4096), 16
 #: Tokens that wait in a worker before windows are built, and words whose ids a worker keeps (twice as many at most).
 ROUND_TOKENS, KEPT_WORDS = 1 << 20, 350_000
-#: Documents whose words are looked up together.
+#: Documents that are encoded together.
 DOCS = 512
 #: White space to Python but not to the tokenizer, or the other way round: such texts are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85]")
@@ -53,6 +53,25 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
 
 
+class _Kept(dict):
+    """The ids of words, made when first asked for. At most limit words and as many of the generation before are kept, none
+    of over 64 letters."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit, self.older = make, max(limit, 1), {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= 64:
+            if len(self) >= self.limit:
+                self.older = self.copy()
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Encoder:
     """Token ids as little-endian 32-bit bytes; the ids of words between white space are kept and joined."""
 
@@ -60,7 +79,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.end, self.limit = Tokenizer.from_file(path), end_id.to_bytes(4, "little"), kept_words
+        self.model, self.end = Tokenizer.from_file(path), end_id.to_bytes(4, "little")
         spec = json.loads(self.model.to_str())
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -70,41 +89,24 @@ class Encoder:
         # letters can go to the model as they are where the steps before it are known to leave a run of them alone
         self.plain = kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _LETTER_RUNS} and not steps[1]["add_prefix_space"]
         self.bytes, self.pieces = _byte_letters(), self.model.model.tokenize
-        self.kept, self.older = {}, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.kept = _Kept(self._word, kept_words)
 
-    def _run(self, letters: str) -> bytes:
-        """The ids of a run of letters in lower case."""
-        found = self.kept.get(letters) or self.older.get(letters)
-        if found is None:
-            seen = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.bytes)
-            found = array("I", [t.id for t in self.pieces(seen)]).tobytes()
-            if len(letters) <= 64:
-                self.kept[letters] = found
-        return found
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words that are not kept."""
-        out, rest = {}, []
-        for w in words:
-            letters = w.rstrip(_SIGNS)
-            if self.plain and letters.isalpha() and letters.islower() and (letters.isascii() or not _WIDE.search(letters)):
-                out[w] = self._run(letters)
-                if signs := w[len(letters) :]:
-                    if signs not in self.kept:
-                        self.kept[signs] = self._ids([signs])[0]
-                    out[w] += self.kept[signs]
-            else:
-                rest.append(w)
-        out.update(zip(rest, self._ids(rest), strict=True))
-        return out
+    def _word(self, word: str) -> bytes:
+        letters = word.rstrip(_SIGNS)
+        if not (self.plain and letters.isalpha() and letters.islower() and (letters.isascii() or not _WIDE.search(letters))):
+            return self._whole(word)
+        if letters != word:
+            return self.kept[letters] + self.kept[word[len(letters) :]]
+        seen = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.pieces(seen)]).tobytes()
 
     def _words(self, text: str) -> list[str] | None:
         if _ODD.search(text):
             return None
-        if not self.lowers or _WIDE.search(text):
+        if not self.lowers or not text.isascii() and _WIDE.search(text):
             return text.split()
         lower = text.lower()
         if self.added and self.added.search(lower):  # words with an added token stand as they are
@@ -113,21 +115,9 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end token."""
-        split = [self._words(t) for t in texts]
-        every = set().union(*(w for w in split if w))
-        kept = self.kept
-        own = {w: kept[w] for w in every & kept.keys()}
-        new = every - own.keys()
-        if len(kept) + len(new) > self.limit:  # words of the last generation that come again move to this one
-            self.kept, self.older = dict(own), kept
-            kept = self.kept
-        again = {w: self.older[w] for w in new & self.older.keys()}
-        fresh = self._new(list(new - again.keys()))
-        for found in (again, fresh):
-            own.update(found)
-            kept.update((w, x) for w, x in found.items() if len(w) <= 64)
-        ids = own.__getitem__
-        return [(b"".join(map(ids, w)) if w is not None else self._ids([t])[0]) + self.end for t, w in zip(texts, split, strict=True)]
+        ids = self.kept.__getitem__
+        split = ((t, self._words(t)) for t in texts)
+        return [(b"".join(map(ids, w)) if w is not None else self._whole(t)) + self.end for t, w in split]
 
 
 class Packer:
