@@ -9,8 +9,8 @@
    A pair of similarity 0.75 whose nodes are small at once is missed with a chance of 0.25**TREES, at the third level
    with 0.58**TREES (5e-5). All documents of larger nodes at that level take part in the exact join of step 4.
 3. Sketches only propose: the full sets of the proposed documents are made again and each pair is confirmed on them.
-   The first round proposes what should connect the documents of a node: pairs with the first one that is clearly
-   similar, and each document's best others. The second goes through all nodes again with every pair that sketches
+   The first round proposes what should connect the documents of a node, two pairs a document at most: a forest of
+   the clearly similar pairs, and each document's best other outside its tree of that forest. The second goes through all nodes again with every pair that sketches
    allow and that the links found so far do not connect, and confirms them inside the node, so none is left out.
 4. The exact join, before the second round: similar sets share a shingle among the 25 percent that each set has first,
    common shingles coming last. The documents of each such shingle become a node of the second round, less those that even
@@ -163,13 +163,34 @@ def _close(table, apart=None):
     return ids, i, j, same
 
 
+def _forest(rows: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the pairs taken, label of each row): under `rows` pairs that connect what all pairs (i, j) connect.
+
+    In each pass every label takes its pair with its smallest neighbour if that is smaller, so pairs form no circle.
+    """
+    label, left, taken = np.arange(rows), np.arange(len(i)), []
+    while len(left := left[label[i[left]] != label[j[left]]]):
+        x, y = label[i[left]], label[j[left]]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        parent = np.arange(rows)
+        np.minimum.at(parent, high, low)
+        smallest = np.flatnonzero(parent[high] == low)
+        taken.append(left[smallest[np.unique(high[smallest], return_index=True)[1]]])
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        label = parent[label]
+    return np.concatenate(taken) if taken else left, label
+
+
 def _first_round(table):
+    """Pairs that should connect the rows of each node, at most two a row: a forest of the clearly similar ones, and each row's
+    best others of other trees of it."""
     ids, i, j, same = _close(table)
-    clear = same >= CLEAR
-    hub = np.arange(len(ids))
-    np.minimum.at(hub, j[clear], i[clear])  # the first row of the node that is clearly similar
-    wanted = clear & ((hub[i] != hub[j]) | (hub[j] == i))
-    x, y, s = (np.concatenate([u[~clear], v[~clear]]) for u, v in ((i, j), (j, i), (same, same)))
+    clear = np.flatnonzero(same >= CLEAR)
+    taken, label = _forest(len(ids), i[clear], j[clear])
+    wanted = clear[taken]
+    others = np.flatnonzero((same < CLEAR) & (label[i] != label[j]))
+    x, y, s = (np.concatenate([u[others], v[others]]) for u, v in ((i, j), (j, i), (same, same)))
     order = np.lexsort((y, -s, x))
     x, y = x[order], y[order]
     best = np.arange(len(x)) - np.searchsorted(x, x) < BEST

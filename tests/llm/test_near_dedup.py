@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +117,49 @@ def test_random_edits(spark, seed):
             rows.append((n, " ".join(words)))
             n += 1
     check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_first_round_proposes_few_pairs_that_connect():
+    """One node whose agreements lie around CLEAR and one of unlike rows: at most two pairs a row, and the clear ones connect
+    what all clear pairs connect."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, N.HASHES, dtype=np.uint8)
+    marks = []
+    for _ in range(300):
+        row = base.copy()
+        at = rng.random(N.HASHES) < 0.08
+        row[at] = rng.integers(0, 256, int(at.sum()))
+        marks.append(row.tobytes())
+    marks += [rng.integers(0, 256, N.HASHES, dtype=np.uint8).tobytes() for _ in range(50)]
+    keys, ids = [1] * 300 + [2] * 50, rng.permutation(1000)[:350]
+    table = pa.table({"key": pa.array(keys, pa.int64()), "id": pa.array(ids), "n": pa.array([100] * 350), "marks": pa.array(marks, pa.binary())})
+    _, i, j, same = N._close(table)
+    clear = same >= N.CLEAR
+    assert 5_000 < clear.sum() < 40_000
+    got = [p for batch in N._first_round(table) for p in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    assert len(got) <= 2 * 350
+
+    def parts(pairs):
+        label = {int(x): int(x) for x in ids}
+        for _ in range(350):
+            before = dict(label)
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+            if before == label:
+                break
+        return label
+
+    all_clear = [(int(a), int(b)) for a, b in zip(ids[i[clear]], ids[j[clear]], strict=True)]
+    taken, label = N._forest(350, i[clear], j[clear])
+    forest = [all_clear[k] for k in taken]
+    assert len(forest) == 350 - len(set(label.tolist()))
+    assert parts(forest) == parts(all_clear)
+    assert {(min(p), max(p)) for p in forest} <= set(got)
+    assert not any(x in ids[300:] for p in got for x in p)
+
+
+def test_forest_of_odd_links():
+    assert [len(x) for x in N._forest(0, np.empty(0, np.int64), np.empty(0, np.int64))] == [0, 0]
+    for i, j in (([0, 0, 1], [1, 2, 2]), ([5, 4, 3, 2, 1], [4, 3, 2, 1, 0]), ([9] * 9, range(9)), ([0, 0, 0], [1, 1, 1])):
+        taken, label = N._forest(10, np.array(i), np.array(j))
+        assert len(taken) == 10 - len(np.unique(label)) and len(np.unique(label[[*i, *j]])) == 1
