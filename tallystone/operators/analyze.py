@@ -54,10 +54,9 @@ def _region(content: str, lang: Language) -> dict:
     return {"lines": _lines(content, lang), "size": len(content.encode()), "complexity": vars(C.analyze(content, lang)), "text": content}
 
 
-def _spans(content: str, lang: Language) -> list[dict]:
+def _spans(content: str, lang: Language, found: list[C.Span]) -> list[dict]:
     lines = content.split("\n")
-    body = lambda s: C.analyze("\n".join(lines[s.start_line - 1 : s.end_line]), lang)
-    return [{**vars(s), "cyclomatic": body(s).cyclomatic} for s in C.function_spans(content, lang)]
+    return [{**vars(s), "cyclomatic": C.cyclomatic("\n".join(lines[s.start_line - 1 : s.end_line]), lang)} for s in found]
 
 
 def analyze_file(path: str, content: bytes, registry: Registry, options: Options) -> dict:
@@ -77,9 +76,10 @@ def analyze_file(path: str, content: bytes, registry: Registry, options: Options
         if options.no_min_gen and generated(content):
             return {"status": "filtered"}
         source = content.decode("utf-8", "replace")
-        out = {"status": "ok", "language": lang.name, "measurable": lang.measurable, "lines": _lines(source, lang), "size": len(content), "complexity": vars(C.analyze(source, lang))}
+        complexity, found = C.analyze_with_spans(source, lang)
+        out = {"status": "ok", "language": lang.name, "measurable": lang.measurable, "lines": _lines(source, lang), "size": len(content), "complexity": vars(complexity)}
         if options.spans:
-            out["spans"] = _spans(source, lang)
+            out["spans"] = _spans(source, lang, found)
         if lang.inline_test_res and not _is_test(relative) and (parts := C.split_tests(source, lang)):
             out["production"], out["tests"] = _region(parts[0], lang), _region(parts[1], lang)
         return out
@@ -102,7 +102,8 @@ def _is_test(path: str) -> bool:
 
 
 def kernel(registry: Registry | None = None, options: Options | None = None):
-    """A column function of (path, content) that gives KERNEL structs, Arrow batch by Arrow batch."""
+    """A column function of (path, content) that gives KERNEL structs, Arrow batch by Arrow batch. To Spark it is not
+    deterministic, or a filter on its status would run it once more for every file."""
     registry, options = registry or Registry(), options or Options()
     arrow = _arrow_type(KERNEL)
 
@@ -111,7 +112,7 @@ def kernel(registry: Registry | None = None, options: Options | None = None):
             rows = [analyze_file(p.as_py() or "", c.as_py() or b"", registry, options) for p, c in zip(names, contents, strict=True)]
             yield pa.array(rows, arrow)
 
-    return F.arrow_udf(run, KERNEL)
+    return F.arrow_udf(run, KERNEL).asNondeterministic()
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

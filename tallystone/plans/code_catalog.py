@@ -32,9 +32,15 @@ code AS (SELECT 'd' || k % 4 || '/f' || k || '.' || ext AS path, k, n, language,
   n * functions AS functions, n * (decisions + functions) AS cyclomatic, n * cognitive AS cognitive, depth AS max_depth, func_lines AS avg_func_lines, brackets AS legacy_max_depth FROM files JOIN blocks b USING (ext))"""
 
 
+#: Files that a task of the kernel gets.
+TASK_FILES = 2000
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, content (bytes) and k of a file for each part; every third begins with a byte order mark."""
+    """path, content (bytes) and k of a file for each part; every third begins with a byte order mark. The rows are dealt anew
+    before they get their content: the whole table may be one row group, which one task reads."""
     part = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 7 + 1).cast("int").alias("n"), (F.col("p_partkey") % len(BLOCKS)).cast("int").alias("at"))
+    part = part.repartition(part.count() // TASK_FILES + 1, "k")
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("at") + 1)
     text = F.concat(pick([b[1] for b in BLOCKS.values()]), F.repeat(pick([b[2] for b in BLOCKS.values()]), F.col("n")))
     content = F.concat(F.when(F.col("k") % 3 == 0, F.lit(analyze.BOM)).otherwise(F.lit(b"")), F.encode(text, "UTF-8"))

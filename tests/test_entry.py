@@ -31,3 +31,13 @@ def test_streaming_churn_gives_the_table_result(spark, tmp_path):
     q = daily_churn(stream).writeStream.format("memory").queryName("churned").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("churned").collect())) == sorted(map(tuple, daily_churn(rows).collect()))
+
+
+def test_code_spans_runs_the_kernel_once_a_file_and_in_several_tasks(spark, tmp_path):
+    from tallystone.plans.code_catalog import TASK_FILES, sources
+
+    parts = spark.range(2 * TASK_FILES).selectExpr("id AS p_partkey", "cast(id % 50 AS int) AS p_size").coalesce(1)
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    assert sources(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+    plan = entry.queries()["code_spans"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

@@ -154,3 +154,8 @@ def test_own_languages(tmp_path):
     f.write_text('[bad]\nname = "B"\nfunction_pattern = "("\n')
     with pytest.raises(ValueError):
         Registry().load(f)
+
+
+def test_cyclomatic_alone_is_that_of_all_metrics():
+    for name, text in (("Rust", "fn f() { if a && b { g()?; } }\nfn h();\n"), ("JavaScript", "function f(a) {\n  if (a) { b(`if`); }\n}\n"), ("Python", "def f(x):\n    return x and 1\n"), ("Markdown", "if else")):
+        assert C.cyclomatic(text, lang(name)) == C.analyze(text, lang(name)).cyclomatic
