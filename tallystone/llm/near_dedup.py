@@ -4,10 +4,11 @@
    with the same set form a class; only a class's smallest document goes on.
 2. In each of TREES trees a node is the documents whose paths agree so far; a path is a chain of minwise tokens, one
    chosen sketch function a level. Nodes of at most NODE documents compare their sketches exhaustively; larger ones
-   branch on their next token. What is still larger at the last level shares DEPTH minwise tokens; it is dealt to blocks
-   of that size, anew in every tree, and compared with its smallest document, which only proposes links early.
-   A pair of similarity 0.75 whose nodes are small at once is missed with a chance of 0.25**TREES, at the third level
-   with 0.58**TREES (5e-5). All documents of larger nodes at that level take part in the exact join of step 4.
+   branch on their next token, down to the third level (EXACT, from 0). All documents of nodes that are larger there
+   take part in the exact join of step 4, which finds every link inside them, so branching further would find nothing more;
+   they are only dealt to blocks of at most about NODE, anew in every tree, each with the node's smallest document, which proposes
+   links early. A pair of similarity 0.75 whose nodes are small at once is missed with a chance of 0.25**TREES, at the
+   third level with 0.58**TREES (5e-5).
 3. Sketches only propose: the full sets of the proposed documents are made again and each pair is confirmed on them.
    The first round proposes what should connect the documents of a node, two pairs a document at most: a forest of
    the clearly similar pairs, and each document's best other outside its tree of that forest. The second goes through all nodes again with every pair that sketches
@@ -37,10 +38,10 @@ from tallystone.llm.common import arrow_rows, broadcast_within, materialize
 from tallystone.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
-HASHES, TREES, DEPTH, NODE = 256, 18, 8, 1024
+HASHES, TREES, NODE = 256, 18, 1024
 #: Sketches must agree this far for a pair to be proposed (4.4 standard errors below 0.75), and this far to be clearly similar.
 PROPOSE, CLEAR, BEST = 0.63, 0.85, 1
-#: The level (from 0) whose larger nodes are joined exactly; shingles of more documents than COMMON come last in the order, the
+#: The last level (from 0), whose larger nodes are joined exactly; shingles of more documents than COMMON come last in the order, the
 #: most frequent COMMON_TOKENS at most. Any order gives the same links.
 EXACT, COMMON, COMMON_TOKENS = 2, 16, 1_000_000
 #: Ids or small rows that may be broadcast.
@@ -52,7 +53,7 @@ _RANDOM = np.random.default_rng(20)
 _XOR = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _MUL = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 #: The sketch function that tree t reads at level l.
-CHOSEN = np.stack([_RANDOM.permutation(HASHES)[:DEPTH] for _ in range(TREES)])
+CHOSEN = np.stack([_RANDOM.permutation(HASHES)[: EXACT + 1] for _ in range(TREES)])
 
 
 def _distinct(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,15 +274,15 @@ def _confirmed(batches):
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def nodes_and_stars(reps: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """(key, id) of the nodes to compare, pairs (a, b) with pivots of what is still large at the last level, and ids to join exactly.
+def nodes_to_compare(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(key, id) of the nodes to compare, and the ids of what is still large at the last level, to join exactly.
 
     reps: id, marks (the low byte of each sketch value, which chains of tokens are made of), roots.
     """
     frontier = reps.select("id", F.posexplode("roots").alias("tree", "key"))
-    members, star, exact = [], None, None
-    for level in range(DEPTH):
-        nodes = frontier.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("mark")).where("size > 1")
+    members, exact = [], None
+    for level in range(EXACT + 1):
+        nodes = frontier.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.min("id").alias("pivot")).where("size > 1")
         nodes = materialize(nodes, "nodes")
         n_small, n_large = nodes.agg(F.count_if(F.col("size") <= NODE), F.count_if(F.col("size") > NODE)).first()
         hint = lambda df, n: F.broadcast(df) if n <= MAX_BROADCAST_ROWS else df
@@ -290,10 +291,8 @@ def nodes_and_stars(reps: DataFrame) -> tuple[DataFrame, DataFrame | None, DataF
         members.append(frontier.join(hint(small, n_small), "key").select("key", "id"))
         if not n_large:
             break
-        inside = frontier.join(hint(nodes.where(F.col("size") > NODE).select("key", "size"), n_large), "key")
-        if level == EXACT:
-            exact = materialize(inside.select("id").distinct(), "exact")
-        if level + 1 < DEPTH:
+        inside = frontier.join(hint(nodes.where(F.col("size") > NODE).select("key", "size", "pivot"), n_large), "key")
+        if level < EXACT:
             token = F.array(*(F.lit(int(f + 1)) for f in CHOSEN[:, level + 1]))
             step = F.xxhash64("key", F.substring("marks", F.element_at(token, F.col("tree") + 1), F.lit(1)))
             if level == 0:  # from here on the few rows that branch carry their marks
@@ -301,14 +300,16 @@ def nodes_and_stars(reps: DataFrame) -> tuple[DataFrame, DataFrame | None, DataF
             frontier = materialize(inside.select("id", "tree", "marks", step.alias("key")), "frontier")
         else:
             inside = materialize(inside, "large")
-            block = F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("size") * 2 / NODE))
-            members.append(inside.select(F.xxhash64("key", block).alias("key"), "id"))
-            pivots = materialize(inside.groupBy("key").agg(F.min("id").alias("pivot")), "pivots")
-            star = inside.join(hint(pivots, n_large), "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+            exact = materialize(inside.select("id").distinct(), "exact")
+            # a node's smallest document is in all of its blocks and connects them
+            blocks = F.ceil(F.col("size") * 2 / NODE)
+            members.append(inside.where("id <> pivot").select(F.xxhash64("key", F.pmod(F.xxhash64("id", "tree"), blocks)).alias("key"), "id"))
+            every = inside.where("id = pivot").select("key", "id", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+            members.append(every.select(F.xxhash64("key", "block").alias("key"), "id"))
     together = members[0]
     for m in members[1:]:
         together = together.unionByName(m)
-    return materialize(together, "members"), star, exact
+    return materialize(together, "members"), exact
 
 
 def full_sets(ids: DataFrame, own: DataFrame) -> DataFrame:
@@ -366,12 +367,11 @@ def exact_nodes(ids: DataFrame, own: DataFrame, found: DataFrame) -> DataFrame:
 def similar(reps: DataFrame, own: DataFrame) -> DataFrame:
     """(node, component) of all similar documents among reps (id, n, marks, roots)."""
     spark = reps.sparkSession
-    together, star, exact = nodes_and_stars(reps)
+    together, exact = nodes_to_compare(reps)
     with_marks = lambda df: df.join(reps.select("id", "n", "marks"), "id").select("key", "id", "n", "marks")
     rows = materialize(with_marks(together), "node-rows")
     arranged = lambda df: df.repartition("key").sortWithinPartitions("key", "id")
-    near = arranged(rows).mapInArrow(_by_node(_first_round), "a long, b long")
-    first = materialize((near if star is None else near.unionByName(star)).distinct(), "pairs")
+    first = materialize(arranged(rows).mapInArrow(_by_node(_first_round), "a long, b long").distinct(), "pairs")
     with arrow_rows(spark, SET_ROWS):
         links = confirm(first, own)
     found = materialize(components(links), "components")

@@ -163,3 +163,30 @@ def test_forest_of_odd_links():
     for i, j in (([0, 0, 1], [1, 2, 2]), ([5, 4, 3, 2, 1], [4, 3, 2, 1, 0]), ([9] * 9, range(9)), ([0, 0, 0], [1, 1, 1])):
         taken, label = N._forest(10, np.array(i), np.array(j))
         assert len(taken) == 10 - len(np.unique(label)) and len(np.unique(label[[*i, *j]])) == 1
+
+
+def test_rows_met_in_nodes_grow_with_a_family_and_end_at_the_exact_level(spark, monkeypatch):
+    """Families of near copies, larger than nodes: at most a row a document, tree and level, double the family double the rows."""
+    monkeypatch.setattr(N, "NODE", 8)
+    whole, met = N.materialize, []
+
+    def counted(df, name):
+        out = whole(df, name)
+        if name in ("frontier", "large", "members"):
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "materialize", counted)
+    totals = []
+    for family in (60, 120):
+        rng, base = random.Random(2), [f"b{i}" for i in range(300)]
+        rows = []
+        for i in range(family):
+            words = list(base)
+            words[rng.randrange(300)] = f"x{i}"
+            rows.append((i, " ".join(words)))
+        met.clear()
+        check(spark.createDataFrame(rows, "doc_id long, text string"))
+        totals.append(sum(met))
+        assert totals[-1] <= 1.25 * family * N.TREES * (N.EXACT + 2)
+    assert totals[1] <= 2.5 * totals[0]
